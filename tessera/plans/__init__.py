@@ -5,41 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessera.sources import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def add(query):
-        QUERIES[name] = query
-        if sql:
-            ORACLE[name] = sql
-        return query
-
-    return add
+from tessera.plans import aggregates, joins, rows, scalars, star, times, windows  # noqa: F401  they fill the register
+from tessera.plans.registry import ORACLE, QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return QUERIES
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return ORACLE
-
-
-@register(
-    "q1_like",
-    """select l_returnflag, l_linestatus, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) as charge
-       from lineitem where l_shipdate <= timestamp '1998-09-02' group by 1, 2""",
-)
-def q1_like(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        table(spark, sf_dir, "lineitem")
-        .where(F.col("l_shipdate") <= F.expr("timestamp_ntz'1998-09-02'"))
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax"))).alias("charge"))
-    )
+    return dict(ORACLE)

@@ -1 +1,5 @@
-"""See the modules."""
+"""Structured Streaming forms of the event-time queries."""
+
+from tessera.streaming.events import deduplicated, finished, interval_pairs, running_totals, session_counts, stream, windowed_counts
+
+__all__ = ["deduplicated", "finished", "interval_pairs", "running_totals", "session_counts", "stream", "windowed_counts"]
