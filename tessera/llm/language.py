@@ -134,9 +134,9 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
 
 
 def trained(documents: DataFrame, most: int = 1500) -> LanguageModel:
-    """The model of lang, from at most ``most`` rows of each language outside the held-out fold."""
+    """The model of lang, from about ``most`` rows of each language outside the held-out fold."""
     known = documents.where(~in_fold(crc_mod("doc_id", 4), 2))
-    return fit(labelled_sample(known, "lang", most, 32 << 20))
+    return fit(labelled_sample(known, "lang", most))
 
 
 def languages(documents: DataFrame) -> DataFrame:

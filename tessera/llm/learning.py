@@ -2,42 +2,58 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Values of a label that a sample can have; more are left out, the rarest first.
+CLASSES = 64
+#: Parts of the hash range by which rows are chosen.
+PARTS = 1 << 30
+
+
+def thinned(rows: DataFrame, label: str, most: int) -> DataFrame:
+    """About ``most`` rows (or all) of each label value, chosen by a hash of doc_id against the value's share of rows."""
+    known = rows.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    counts = known.groupBy(label).count().orderBy(F.desc("count"), label).limit(CLASSES).collect()
+    part = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(PARTS))
+    chosen = [(F.col(label) == F.lit(r[label])) & (part < int(PARTS * min(1.0, most / r["count"]))) for r in counts]
+    return known.where(reduce(lambda a, b: a | b, chosen, F.lit(False)))
+
+
+def gathered(rows: DataFrame, label: str, most: int, most_bytes: int) -> pa.Table:
+    """rows (doc_id, text, label) at the driver: text and label, in an order that depends on the rows alone.
+
+    The bound of the classifiers' samples, and all that the driver sees of the corpus: about ``most`` rows for each label
+    value (never over 2 * CLASSES * most), and ``most_bytes`` of text over all values in equal shares.
+    """
+    size = F.octet_length("text")
+    slim = rows.where(F.col("text").isNotNull() & (size <= most_bytes // 32)).select("doc_id", "text", F.col(label).alias("label"))
+    table = slim.limit(2 * CLASSES * most).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    values = table.column("label").to_pylist()
+    share, used, keep = most_bytes // max(1, len(set(values))), {}, []
+    for i, (value, n) in enumerate(zip(values, (len(x.as_py()) for x in table.column("text").cast(pa.binary())), strict=True)):
+        used[value] = used.get(value, 0) + n
+        if used[value] <= share:
+            keep.append(i)
+    return table.take(pa.array(keep, pa.int64())).drop_columns(["doc_id"])
+
+
+def labelled_sample(documents: DataFrame, label: str, most: int, most_bytes: int = 24 << 20) -> pa.Table:
+    """The sample of documents that carry the label themselves."""
+    return gathered(thinned(documents.select("doc_id", "text", label), label, most), label, most, most_bytes)
+
 
-def labelled_sample(rows: DataFrame, label: str, most: int, most_bytes: int = 48 << 20) -> pa.Table:
-    """text and label of at most ``most`` rows for each label value, chosen by a hash of the text.
+def joined_sample(documents: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int = 24 << 20) -> pa.Table:
+    """The sample of documents whose label is in another table; repeated labels of an id count once, by the largest.
 
-    The bound is the documented parameter of the classifiers: what comes to the driver is at most ``most`` rows for
-    each of the label's values and about most_bytes of text in all. Only rows with text and label are taken; the choice depends on the
-    text alone, so it is the same in any partitioning. Very long texts count by their size, and a row that would pass
-    its share of the bytes is left out of the sample.
+    The ids are chosen first, so only about ``most`` of each value are broadcast and no text is shuffled.
     """
-    clean = rows.where(F.col("text").isNotNull() & F.col(label).isNotNull()).select("text", F.col(label).alias("label"))
-    keyed = clean.select("text", "label", F.xxhash64("text").alias("k"), F.octet_length("text").alias("size"))
-    values = [r["label"] for r in clean.select("label").distinct().limit(64).collect()]
-    share = most_bytes // max(1, len(values))
-    parts = []
-    for value in sorted(values):
-        top = keyed.where((F.col("label") == F.lit(value)) & (F.col("size") <= share // 16)).orderBy("k", "text").limit(most).drop("k").toArrow()
-        total, keep = 0, 0
-        for size in top.column("size").to_pylist():
-            total += size
-            if total > share:
-                break
-            keep += 1
-        parts.append(top.slice(0, keep).drop_columns(["size"]))
-    if not parts:
-        return pa.table({"text": pa.array([], pa.string()), "label": pa.array([], pa.string())})
-    return pa.concat_tables(parts)
-
-
-def with_labels(documents: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """documents that have a label; repeated labels of an id count once, by the largest value."""
     one = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
-    return documents.select("doc_id", "text").join(one, "doc_id")
+    ids = thinned(one, label, most)
+    return gathered(documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), label, most, most_bytes)
 
 
 def in_fold(column: Column, fold: int) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import chunks, crc_mod, flat_bytes
 from tessera.llm.grams import LOWER, byte_grams
-from tessera.llm.learning import in_fold, labelled_sample, with_labels
+from tessera.llm.learning import in_fold, joined_sample
 
 ORDERS = (4, 5, 6)
 BUCKETS = 1 << 20
@@ -31,27 +31,25 @@ class NaiveBayesLinear:
     bias: float
 
     def score(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+        held = presence(flat, at, self.table != 0)
         n = len(at) - 1
-        hits = [np.zeros(0, np.int64)]
-        for order in ORDERS:
-            bucket, owner = byte_grams(LOWER[flat], at, order, BUCKETS)
-            some = self.table[bucket] != 0
-            hits.append(owner[some].astype(np.int64) * BUCKETS + bucket[some])
-        held = np.unique(np.concatenate(hits))
         z = self.bias + np.bincount(held // BUCKETS, weights=self.table[held % BUCKETS], minlength=n)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def presence(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """text * BUCKETS + bucket of every n-gram that a text holds, once each, in order."""
+def presence(flat: np.ndarray, at: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
+    """text * BUCKETS + bucket of every n-gram (of the buckets where among holds) that a text has, once each, in order."""
     parts = []
     for order in ORDERS:
         bucket, owner = byte_grams(LOWER[flat], at, order, BUCKETS)
-        parts.append(np.unique(owner.astype(np.int64) * BUCKETS + bucket))
+        if among is not None:
+            some = among[bucket]
+            bucket, owner = bucket[some], owner[some]
+        parts.append(owner.astype(np.int64) * BUCKETS + bucket)
     return np.unique(np.concatenate(parts))
 
 
-def fit(sample: pa.Table, features: int = 4096, least: int = 5, alpha: float = 1.0, ridge: float = 1e-3, rounds: int = 400) -> NaiveBayesLinear:
+def fit(sample: pa.Table, features: int = 4096, least: int = 5, alpha: float = 1.0, ridge: float = 1e-3, rounds: int = 200) -> NaiveBayesLinear:
     """sample: text and label (1 toxic, 0 clean). One class alone gives its own constant score.
 
     The features kept are the ``features`` n-grams whose ratios are best supported: held by ``least`` texts or more,
@@ -62,12 +60,10 @@ def fit(sample: pa.Table, features: int = 4096, least: int = 5, alpha: float = 1
     if not pos or not neg:
         return NaiveBayesLinear(np.zeros(BUCKETS, np.float32), 4.0 if pos else -4.0)
     p, q = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    rows: list[np.ndarray] = []
-    step = 256
-    for start in range(0, len(y), step):  # presence in parts, to bound the memory
-        flat, at = flat_bytes(sample.column("text").slice(start, step).combine_chunks())
+    step = 256  # rows whose n-grams are held at once
+    parts = [(start, flat_bytes(sample.column("text").slice(start, step).combine_chunks())) for start in range(0, len(y), step)]
+    for start, (flat, at) in parts:
         held = presence(flat, at)
-        rows.append(held)
         toxic = y[start + held // BUCKETS] == 1
         p += np.bincount(held[toxic] % BUCKETS, minlength=BUCKETS)
         q += np.bincount(held[~toxic] % BUCKETS, minlength=BUCKETS)
@@ -78,12 +74,8 @@ def fit(sample: pa.Table, features: int = 4096, least: int = 5, alpha: float = 1
     chosen = chosen[n[chosen] >= least]
     column = np.full(BUCKETS, -1, np.int64)
     column[chosen] = np.arange(len(chosen))
-    at_row, at_col = [], []
-    for k, held in enumerate(rows):
-        c = column[held % BUCKETS]
-        at_row.append(held[c >= 0] // BUCKETS + k * step)
-        at_col.append(c[c >= 0])
-    r, c = np.concatenate(at_row), np.concatenate(at_col)
+    held = [presence(flat, at, column >= 0) + start * BUCKETS for start, (flat, at) in parts]
+    r, c = np.concatenate(held) // BUCKETS, column[np.concatenate(held) % BUCKETS]
     value = ratio[chosen][c]
     weight = np.where(y == 1, 0.5 / pos, 0.5 / neg)  # both classes count alike, whatever their shares in the sample
     w, b, moment, moment_b = np.zeros(len(chosen)), 0.0, np.zeros(len(chosen)), 0.0
@@ -120,10 +112,9 @@ def score(df: DataFrame, model: NaiveBayesLinear, text: str = "text", out: str =
     return df.select(*[f"`{f.name}`" for f in kept]).mapInArrow(run, schema)
 
 
-def trained(documents: DataFrame, labels: DataFrame, most: int = 4000) -> NaiveBayesLinear:
-    """The model of labels.toxic, from at most ``most`` rows of each class outside the held-out fold."""
-    known = with_labels(documents.where(~in_fold(crc_mod("doc_id", 3), 1)), labels, "toxic")
-    return fit(labelled_sample(known, "toxic", most))
+def trained(documents: DataFrame, labels: DataFrame, most: int = 2500) -> NaiveBayesLinear:
+    """The model of labels.toxic, from about ``most`` rows of each class outside the held-out fold."""
+    return fit(joined_sample(documents, labels.where(~in_fold(crc_mod("doc_id", 3), 1)), "toxic", most))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
