@@ -207,7 +207,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, texts = [], batch.column("text").to_pylist()
-            for i, cut in enumerate(batch.column("_cuts").to_pylist()):
+            for i, cut in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 keep.append(True)
                 if not cut:
                     continue
@@ -223,9 +223,9 @@ def without_repeats(documents: DataFrame) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
             if "n_chars" in names:
                 old = batch.column("n_chars").to_pylist()
-                changed = [len(t) if c else o for t, c, o in zip(texts, batch.column("_cuts").to_pylist(), old, strict=True)]
+                changed = [len(t) if c else o for t, c, o in zip(texts, batch.column(batch.num_columns - 1).to_pylist(), old, strict=True)]
                 columns[names.index("n_chars")] = pa.array(changed, batch.column("n_chars").type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    joined = documents.join(cuts, documents["doc_id"] == F.col("_doc"), "left").select(*[documents[n] for n in names], "_cuts")
+    joined = documents.join(cuts, documents["doc_id"] == cuts["_doc"], "left").select(*[documents[n] for n in names], cuts["_cuts"])
     return joined.mapInArrow(run, kinds)
