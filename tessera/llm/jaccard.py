@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import list_column, written
+from tessera.llm.common import discard, list_column, written
 from tessera.llm.components import components
 from tessera.llm.shingles import shingle_sets, signature
 
@@ -30,19 +30,20 @@ from tessera.llm.shingles import shingle_sets, signature
 HELD = 1 << 21
 
 
-def frequent_tokens(texts: DataFrame, words: int, least: int = 24, most: int = 1 << 17) -> np.ndarray:
+def frequent_tokens(texts: DataFrame, words: int, share: float, least: int = 24, most: int = 1 << 17) -> np.ndarray:
     """Sorted tokens that ``least`` documents or more hold, the ``most`` most frequent; they come last in the order.
 
-    Counts cover all documents, but only tokens in the lower half of the hash range, which make up nearly all
+    Counts cover all documents, but only tokens in the lowest ``share`` of the hash range, which make up nearly all
     prefixes: others need no demotion, as the order is by hash. A task counts what it holds before it sends it on,
-    so a token that all documents hold costs a row a task. The bound on the result affects speed and nothing else.
+    so a token that all documents hold costs a row a task. The bounds on the result affect speed and nothing else.
     """
+    top = np.uint64(int(min(1.0, share) * ((1 << 64) - 1)))
     parts = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sent(held: list[np.ndarray]) -> pa.RecordBatch:
             token, times = np.unique(np.concatenate(held), return_counts=True)
-            owner = (token >> np.uint64(33)).astype(np.int64) * parts >> 30
+            owner = ((token >> np.uint64(34)) * np.uint64(parts) // ((top >> np.uint64(34)) + np.uint64(1))).astype(np.int64)
             part, once, many, n = [], [], [], []
             for p in range(parts):
                 a, b = np.searchsorted(owner, [p, p + 1])
@@ -56,7 +57,7 @@ def frequent_tokens(texts: DataFrame, words: int, least: int = 24, most: int = 1
         held, size = [], 0
         for batch in batches:
             for _, sets in shingle_sets(batch, words):
-                low = [s[: np.searchsorted(s, np.uint64(1 << 63))] for s in sets]
+                low = [s[: np.searchsorted(s, top)] for s in sets]
                 held += low
                 size += sum(map(len, low))
                 if size >= HELD:
@@ -74,13 +75,13 @@ def frequent_tokens(texts: DataFrame, words: int, least: int = 24, most: int = 1
         return pa.table({"token": token[some].astype(np.int64), "n": times[some]})
 
     counted = texts.mapInArrow(count, "part int, once binary, many binary, n binary").groupBy("part").applyInArrow(total, "token long, n long")
-    top = counted.orderBy(F.desc("n"), "token").limit(most).select("token").toArrow().column("token").to_numpy()
-    return np.sort(top.astype(np.uint64))
+    found = counted.orderBy(F.desc("n"), "token").limit(most).select("token").toArrow().column("token").to_numpy()
+    return np.sort(found.astype(np.uint64))
 
 
-def required(n: Column, num: int, den: int) -> Column:
-    """ceil(t n): the least overlap of a set of n with one like it."""
-    return F.ceil(n * F.lit(num) / F.lit(den)).cast("long")
+def least_shared(small: Column, large: Column, num: int, den: int) -> Column:
+    """A lower bound of the prefix tokens that two similar sets of such sizes share (0 or less says nothing)."""
+    return small * F.lit(num / (num + den)) + large * F.lit(num / (num + den) - num / den)
 
 
 def sized_alike(a: Column, b: Column, num: int, den: int) -> Column:
@@ -123,7 +124,8 @@ def chosen(docs: DataFrame, ids: DataFrame, most: int = 1 << 20) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, entities: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b: signatures) whose sets are similar; only texts that a pair needs leave their place."""
     needed = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select(F.col("b").alias("sig"))).distinct()
-    texts = chosen(docs, written(entities.select("sig", "doc_id").join(needed, "sig").select("doc_id").distinct(), "needed"))
+    ids = written(entities.select("sig", "doc_id").join(needed, "sig").select("doc_id").distinct(), "needed")
+    texts = chosen(docs, ids)
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,10 +143,12 @@ def verified(pairs: DataFrame, docs: DataFrame, entities: DataFrame, words: int,
                 keep.append(common * den >= num * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = written(texts.mapInArrow(to_sets, "sig long, tokens binary").dropDuplicates(["sig"]), "sets")
+    sets = written(texts.mapInArrow(to_sets, "sig long, tokens binary"), "sets")
     left = pairs.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x")), "a")
     both = left.join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y")), "b")
-    return written(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
+    links = written(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
+    discard(ids, sets)
+    return links
 
 
 def classes(entities: DataFrame, links: DataFrame) -> DataFrame:
@@ -161,23 +165,24 @@ def similar_documents(documents: DataFrame, words: int = 5, num: int = 80, den:
     Repeated rows come back as often as they came. An empty table gives no rows. Signatures of sets have 64 bits.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    frequent = frequent_tokens(docs, words)
+    frequent = frequent_tokens(docs, words, 2 * (1 - num / den))
     listed = written(prefixes(docs, frequent, words, num, den), "prefixes")
     rows = listed.select("doc_id", "n", "sig")
-    real = listed.where("n > 0")
     # Equal sets: one entity. Equal sizes and prefixes: one group, known by its smallest entity.
-    entities = real.groupBy("sig", "n").agg(F.min("doc_id").alias("doc_id"), F.any_value("prefix").alias("prefix"))
-    entities = written(entities.withColumn("key", F.xxhash64("n", "prefix")), "entities")
-    groups = entities.groupBy("key").agg(F.min("sig").alias("group"), F.any_value("n").alias("n"), F.min_by("prefix", "sig").alias("prefix"))
-    members = entities.select("key", "sig", "n", "doc_id").join(groups.select("key", "group"), "key").drop("key")
-    members = written(members, "members")
+    real = listed.where("n > 0").select("doc_id", "n", "sig", F.xxhash64("n", "prefix").alias("key"))
+    entities = written(real.groupBy("sig", "n", "key").agg(F.min("doc_id").alias("doc_id")), "entities")
+    groups = entities.groupBy("key").agg(F.min("sig").alias("group"), F.min_by("doc_id", "sig").alias("leader"))
+    members = written(entities.join(groups, "key").select("sig", "n", "doc_id", "group", "leader"), "members")
 
     token = Window.partitionBy("token").orderBy("n", "group")
-    tokens = groups.select(F.explode("prefix").alias("token"), "group", "n")
+    leaders = members.where("sig = group").select(F.col("leader").alias("doc_id"), "sig")
+    tokens = listed.join(leaders, ["doc_id", "sig"]).select(F.explode("prefix").alias("token"), F.col("sig").alias("group"), F.col("n").cast("int").alias("n"))
     met = tokens.select("token", "group", "n", F.lag("group").over(token).alias("before"), F.lag("n").over(token).alias("before_n"), F.lead("group").over(token).alias("after"))
     met = written(met.where("before is not null or after is not null").drop("after"), "tokens")
 
-    likely = met.where(F.col("before").isNotNull() & sized_alike(F.col("n"), F.col("before_n"), num, den)).groupBy("group", "before").agg(F.count(F.lit(1)).alias("shared"))
+    # The likeliest partner of each group, if it shares at least half of what a link would need as neighbours in order.
+    likely = met.where((F.col("before") != F.col("group")) & sized_alike(F.col("n"), F.col("before_n"), num, den))
+    likely = likely.groupBy("group", "before", "n", "before_n").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= 0.5 * least_shared(F.least("n", "before_n"), F.greatest("n", "before_n"), num, den))
     nearest = likely.groupBy("group").agg(F.max_by("before", F.struct("shared", "before")).alias("b"))
     pairs = nearest.select(F.col("group").alias("a"), "b").unionAll(members.where("sig != group").select(F.col("sig").alias("a"), F.col("group").alias("b")))
     links = verified(written(pairs, "pairs"), docs, members, words, num, den)
@@ -192,12 +197,13 @@ def similar_documents(documents: DataFrame, words: int = 5, num: int = 80, den:
     meeting = x.join(y, "token").where("ca < cb").groupBy("ca", "cb").agg(F.count(F.lit(1)).alias("shared"))
     meeting = meeting.join(sizes.select(F.col("class").alias("ca"), F.col("low").alias("la"), F.col("high").alias("ha")), "ca")
     meeting = meeting.join(sizes.select(F.col("class").alias("cb"), F.col("low").alias("lb"), F.col("high").alias("hb")), "cb")
-    least = F.least("la", "lb") * F.lit(num / (num + den)) + F.greatest("ha", "hb") * F.lit(num / (num + den) - num / den)
-    close = meeting.where((F.col("shared") >= least - 1e-6) & (F.col("ha") * den >= F.col("lb") * num) & (F.col("hb") * den >= F.col("la") * num))
+    close = meeting.where((F.col("shared") >= least_shared(F.least("la", "lb"), F.greatest("ha", "hb"), num, den) - 1e-6) & (F.col("ha") * den >= F.col("lb") * num) & (F.col("hb") * den >= F.col("la") * num))
     a = known.select(F.col("class").alias("ca"), F.col("sig").alias("a"), F.col("n").alias("na"))
     b = known.select(F.col("class").alias("cb"), F.col("sig").alias("b"), F.col("n").alias("nb"))
     more = close.select("ca", "cb").join(a, "ca").join(b, "cb").where(sized_alike(F.col("na"), F.col("nb"), num, den)).select("a", "b")
-    late = verified(written(more, "pairs"), docs, members, words, num, den)
+    more = written(more, "pairs")
+    discard(met)
+    late = verified(more, docs, members, words, num, den)
     final = classes(members, links.unionAll(late))
 
     smallest = final.groupBy("class").agg(F.min("doc_id").alias("component_id"))
