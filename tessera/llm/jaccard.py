@@ -7,7 +7,8 @@ of them, as beyond its prefix a set has ceil(t n) - 1 tokens.
 
 1. Token counts over all documents, kept for tokens frequent enough to matter to the order.
 2. Equal sets become one entity; entities of equal size and prefix become one group, which alone meets others.
-3. Each group is compared with its likeliest neighbour, and each entity with its group's leader: classes form.
+3. Each entity is compared with its group's leader, and each group with a likely neighbour and the centre of its
+   surroundings, twice: classes form from a few comparisons a group.
 4. Classes that share enough prefix tokens (filtered as group pairs) are expanded, and members of different
    classes are compared. No link between classes is lost, and links within a class need no proof.
 Comparisons are exact, on the whole sets. Copies of a text cost one row in every step after the first.
@@ -27,10 +28,10 @@ from tessera.llm.components import components
 from tessera.llm.shingles import shingle_sets, signature
 
 #: Tokens that are held in a task before their counts are sent on.
-HELD = 1 << 21
+HELD = 1 << 20
 
 
-def frequent_tokens(texts: DataFrame, words: int, share: float, least: int = 24, most: int = 1 << 17) -> np.ndarray:
+def frequent_tokens(texts: DataFrame, words: int, share: float, least: int = 8, most: int = 1 << 19) -> np.ndarray:
     """Sorted tokens that ``least`` documents or more hold, the ``most`` most frequent; they come last in the order.
 
     Counts cover all documents, but only tokens in the lowest ``share`` of the hash range, which make up nearly all
@@ -156,6 +157,38 @@ def classes(entities: DataFrame, links: DataFrame) -> DataFrame:
     return entities.join(components(links).select(F.col("node").alias("sig"), F.col("component").alias("found")), "sig", "left").withColumn("class", F.coalesce("found", "sig")).drop("found")
 
 
+def apart(met: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of met (token, group, n), with the classes of each group's members, of tokens that several classes hold."""
+    held = met.select("token", "group", "n").join(known.select("group", "class").distinct(), "group")
+    token = Window.partitionBy("token")
+    spread = held.withColumns({"low": F.min("class").over(token), "high": F.max("class").over(token)})
+    return spread.where("low < high").drop("low", "high")
+
+
+def beside(met: DataFrame, num: int, den: int) -> DataFrame:
+    """For each group the one (a, b) that most often stands before it among the groups of a token, if that is often."""
+    likely = met.where((F.col("before") != F.col("group")) & sized_alike(F.col("n"), F.col("before_n"), num, den))
+    likely = likely.groupBy("group", "before", "n", "before_n").agg(F.count(F.lit(1)).alias("shared"))
+    often = F.col("shared") >= 0.5 * least_shared(F.least("n", "before_n"), F.greatest("n", "before_n"), num, den)
+    return likely.where(often).groupBy(F.col("group").alias("a")).agg(F.max_by("before", F.struct("shared", "before")).alias("b"))
+
+
+def central(met: DataFrame, num: int, den: int) -> DataFrame:
+    """For each group the centre (a, b) that most of its tokens name, if enough do for a link.
+
+    A token's centre is the group whose tokens are held most in all: among edited copies of a text, the one that was
+    edited least, with which most others are linked, whether or not they are with each other. One pair a group at most.
+    """
+    rows = met.select("token", "group", "n").distinct()
+    held = rows.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
+    weight = rows.join(held, "token").groupBy("group").agg(F.sum("held").alias("weight"))
+    centres = rows.join(weight, "group").groupBy("token").agg(F.max_by(F.struct("group", "n"), F.struct("weight", "group")).alias("c"))
+    named = rows.join(centres, "token").where((F.col("c.group") != F.col("group")) & sized_alike(F.col("n"), F.col("c.n"), num, den))
+    counted = named.groupBy("group", "n", F.col("c.group").alias("b"), F.col("c.n").alias("bn")).agg(F.count(F.lit(1)).alias("shared"))
+    enough = F.col("shared") >= 0.5 * least_shared(F.least("n", "bn"), F.greatest("n", "bn"), num, den)
+    return counted.where(enough).groupBy(F.col("group").alias("a")).agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+
+
 def similar_documents(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for every row: classes of documents linked by similarity >= num / den.
 
@@ -165,7 +198,7 @@ def similar_documents(documents: DataFrame, words: int = 5, num: int = 80, den:
     Repeated rows come back as often as they came. An empty table gives no rows. Signatures of sets have 64 bits.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    frequent = frequent_tokens(docs, words, 2 * (1 - num / den))
+    frequent = frequent_tokens(docs, words, 3 * (1 - num / den))
     listed = written(prefixes(docs, frequent, words, num, den), "prefixes")
     rows = listed.select("doc_id", "n", "sig")
     # Equal sets: one entity. Equal sizes and prefixes: one group, known by its smallest entity.
@@ -180,18 +213,19 @@ def similar_documents(documents: DataFrame, words: int = 5, num: int = 80, den:
     met = tokens.select("token", "group", "n", F.lag("group").over(token).alias("before"), F.lag("n").over(token).alias("before_n"), F.lead("group").over(token).alias("after"))
     met = written(met.where("before is not null or after is not null").drop("after"), "tokens")
 
-    # The likeliest partner of each group, if it shares at least half of what a link would need as neighbours in order.
-    likely = met.where((F.col("before") != F.col("group")) & sized_alike(F.col("n"), F.col("before_n"), num, den))
-    likely = likely.groupBy("group", "before", "n", "before_n").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= 0.5 * least_shared(F.least("n", "before_n"), F.greatest("n", "before_n"), num, den))
-    nearest = likely.groupBy("group").agg(F.max_by("before", F.struct("shared", "before")).alias("b"))
-    pairs = nearest.select(F.col("group").alias("a"), "b").unionAll(members.where("sig != group").select(F.col("sig").alias("a"), F.col("group").alias("b")))
-    links = verified(written(pairs, "pairs"), docs, members, words, num, den)
+    pairs = members.where("sig != group").select(F.col("sig").alias("a"), F.col("group").alias("b"))
+    pairs = written(pairs.unionAll(beside(met, num, den)).unionAll(central(met, num, den)), "pairs")
+    links = verified(pairs, docs, members, words, num, den)
+    known = written(classes(members, links), "classes")
+    # Once more among the classes found: what is left apart meets the centres of other classes.
+    one, other = (known.select(F.col("sig").alias(c), F.col("class").alias(f"class_{c}")) for c in "ab")
+    pairs = central(apart(met, known), num, den).join(one, "a").join(other, "b").where("class_a != class_b").select("a", "b")
+    pairs = written(pairs, "pairs")
+    links = links.unionAll(verified(pairs, docs, members, words, num, den))
     known = written(classes(members, links), "classes")
 
     # Classes that meet in enough tokens, as pairs of groups; then their members, where sizes allow a link.
-    held = met.select("token", "group").join(known.select("group", "class"), "group").select("token", "class").distinct()
-    several = Window.partitionBy("token")
-    held = held.withColumn("classes", F.count(F.lit(1)).over(several)).where("classes > 1").drop("classes")
+    held = apart(met, known).select("token", "class").distinct()
     sizes = known.groupBy("class").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     x, y = held.select("token", F.col("class").alias("ca")), held.select("token", F.col("class").alias("cb"))
     meeting = x.join(y, "token").where("ca < cb").groupBy("ca", "cb").agg(F.count(F.lit(1)).alias("shared"))
