@@ -8,7 +8,7 @@ of them, as beyond its prefix a set has ceil(t n) - 1 tokens.
 1. Token counts over all documents, kept for tokens frequent enough to matter to the order.
 2. Equal sets become one entity; entities of equal size and prefix become one group, which alone meets others.
 3. Each entity is compared with its group's leader, and each group with a likely neighbour and the centre of its
-   surroundings, twice: classes form from a few comparisons a group.
+   surroundings; then each class with the few that share most tokens: classes form from a few comparisons each.
 4. Classes that share enough prefix tokens (filtered as group pairs) are expanded, and members of different
    classes are compared. No link between classes is lost, and links within a class need no proof.
 Comparisons are exact, on the whole sets. Copies of a text cost one row in every step after the first.
@@ -165,6 +165,18 @@ def apart(met: DataFrame, known: DataFrame) -> DataFrame:
     return spread.where("low < high").drop("low", "high")
 
 
+def meeting(met: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
+    """ca, cb, shared: pairs of classes (ca < cb) that share the prefix tokens that a link between members would need."""
+    held = apart(met, known).select("token", "class").distinct()
+    sizes = known.groupBy("class").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    x, y = held.select("token", F.col("class").alias("ca")), held.select("token", F.col("class").alias("cb"))
+    pairs = x.join(y, "token").where("ca < cb").groupBy("ca", "cb").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = pairs.join(sizes.select(F.col("class").alias("ca"), F.col("low").alias("la"), F.col("high").alias("ha")), "ca")
+    pairs = pairs.join(sizes.select(F.col("class").alias("cb"), F.col("low").alias("lb"), F.col("high").alias("hb")), "cb")
+    enough = F.col("shared") >= least_shared(F.least("la", "lb"), F.greatest("ha", "hb"), num, den) - 1e-6
+    return pairs.where(enough & (F.col("ha") * den >= F.col("lb") * num) & (F.col("hb") * den >= F.col("la") * num)).select("ca", "cb", "shared")
+
+
 def beside(met: DataFrame, num: int, den: int) -> DataFrame:
     """For each group the one (a, b) that most often stands before it among the groups of a token, if that is often."""
     likely = met.where((F.col("before") != F.col("group")) & sized_alike(F.col("n"), F.col("before_n"), num, den))
@@ -217,21 +229,16 @@ def similar_documents(documents: DataFrame, words: int = 5, num: int = 80, den:
     pairs = written(pairs.unionAll(beside(met, num, den)).unionAll(central(met, num, den)), "pairs")
     links = verified(pairs, docs, members, words, num, den)
     known = written(classes(members, links), "classes")
-    # Once more among the classes found: what is left apart meets the centres of other classes.
-    one, other = (known.select(F.col("sig").alias(c), F.col("class").alias(f"class_{c}")) for c in "ab")
-    pairs = central(apart(met, known), num, den).join(one, "a").join(other, "b").where("class_a != class_b").select("a", "b")
-    pairs = written(pairs, "pairs")
+    # Each class meets the few that share most tokens with it, by its first member; what links makes fewer classes.
+    close = meeting(met, known, num, den)
+    both = close.unionAll(close.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"), "shared"))
+    best = both.withColumn("rank", F.row_number().over(Window.partitionBy("ca").orderBy(F.desc("shared"), "cb"))).where("rank <= 4")
+    pairs = written(best.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "pairs")
     links = links.unionAll(verified(pairs, docs, members, words, num, den))
     known = written(classes(members, links), "classes")
 
-    # Classes that meet in enough tokens, as pairs of groups; then their members, where sizes allow a link.
-    held = apart(met, known).select("token", "class").distinct()
-    sizes = known.groupBy("class").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    x, y = held.select("token", F.col("class").alias("ca")), held.select("token", F.col("class").alias("cb"))
-    meeting = x.join(y, "token").where("ca < cb").groupBy("ca", "cb").agg(F.count(F.lit(1)).alias("shared"))
-    meeting = meeting.join(sizes.select(F.col("class").alias("ca"), F.col("low").alias("la"), F.col("high").alias("ha")), "ca")
-    meeting = meeting.join(sizes.select(F.col("class").alias("cb"), F.col("low").alias("lb"), F.col("high").alias("hb")), "cb")
-    close = meeting.where((F.col("shared") >= least_shared(F.least("la", "lb"), F.greatest("ha", "hb"), num, den) - 1e-6) & (F.col("ha") * den >= F.col("lb") * num) & (F.col("hb") * den >= F.col("la") * num))
+    # All other classes that meet in enough tokens, as pairs of groups; then their members, where sizes allow a link.
+    close = meeting(met, known, num, den)
     a = known.select(F.col("class").alias("ca"), F.col("sig").alias("a"), F.col("n").alias("na"))
     b = known.select(F.col("class").alias("cb"), F.col("sig").alias("b"), F.col("n").alias("nb"))
     more = close.select("ca", "cb").join(a, "ca").join(b, "cb").where(sized_alike(F.col("na"), F.col("nb"), num, den)).select("a", "b")
