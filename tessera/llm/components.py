@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import written
 
+#: Edges that a file of a round holds at least, on average: few edges are few files and tasks, many keep their partitions.
+FILE_EDGES = 1 << 17
+
 
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
@@ -32,7 +35,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         down = large.groupBy("hi").agg(F.min("lo").alias("m"))
         joined = large.join(down, "hi")
         small = joined.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionAll(down.select("hi", F.col("m").alias("lo"))).distinct()
-        now = written(small, "edges")
+        now = written(small.coalesce(8 + state[0] // FILE_EDGES), "edges")
         before, state = state, _state(now)
         if state == before:
             break

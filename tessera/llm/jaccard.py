@@ -152,9 +152,10 @@ def verified(pairs: DataFrame, docs: DataFrame, entities: DataFrame, words: int,
     return links
 
 
-def classes(entities: DataFrame, links: DataFrame) -> DataFrame:
-    """entities with class: the smallest signature reachable by links."""
-    return entities.join(components(links).select(F.col("node").alias("sig"), F.col("component").alias("found")), "sig", "left").withColumn("class", F.coalesce("found", "sig")).drop("found")
+def merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """known with classes that links (a, b: classes) join as one, named by the smallest: rounds see classes, not members."""
+    found = components(links).select(F.col("node").alias("class"), F.col("component").alias("found"))
+    return known.join(found, "class", "left").withColumn("class", F.coalesce("found", "class")).drop("found")
 
 
 def apart(met: DataFrame, known: DataFrame) -> DataFrame:
@@ -228,14 +229,13 @@ def similar_documents(documents: DataFrame, words: int = 5, num: int = 80, den:
     pairs = members.where("sig != group").select(F.col("sig").alias("a"), F.col("group").alias("b"))
     pairs = written(pairs.unionAll(beside(met, num, den)).unionAll(central(met, num, den)), "pairs")
     links = verified(pairs, docs, members, words, num, den)
-    known = written(classes(members, links), "classes")
+    known = written(merged(members.withColumn("class", F.col("sig")), links), "classes")
     # Each class meets the few that share most tokens with it, by its first member; what links makes fewer classes.
     close = meeting(met, known, num, den)
     both = close.unionAll(close.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"), "shared"))
     best = both.withColumn("rank", F.row_number().over(Window.partitionBy("ca").orderBy(F.desc("shared"), "cb"))).where("rank <= 4")
     pairs = written(best.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "pairs")
-    links = links.unionAll(verified(pairs, docs, members, words, num, den))
-    known = written(classes(members, links), "classes")
+    known = written(merged(known, verified(pairs, docs, members, words, num, den)), "classes")
 
     # All other classes that meet in enough tokens, as pairs of groups; then their members, where sizes allow a link.
     close = meeting(met, known, num, den)
@@ -245,7 +245,9 @@ def similar_documents(documents: DataFrame, words: int = 5, num: int = 80, den:
     more = written(more, "pairs")
     discard(met)
     late = verified(more, docs, members, words, num, den)
-    final = classes(members, links.unionAll(late))
+    of_class = lambda name: known.select(F.col("sig").alias(name), F.col("class").alias(f"c{name}"))
+    late = late.join(of_class("a"), "a").join(of_class("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    final = merged(known, late)
 
     smallest = final.groupBy("class").agg(F.min("doc_id").alias("component_id"))
     of_entity = final.select("sig", "class").join(smallest, "class").select("sig", "component_id")
