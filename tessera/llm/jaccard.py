@@ -17,6 +17,8 @@ Comparisons are exact, on the whole sets. Copies of a text cost one row in every
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,10 @@ from tessera.llm.shingles import shingle_sets, signature
 
 #: Tokens that are held in a task before their counts are sent on.
 HELD = 1 << 20
+#: A set's bitmap: for each of 64 * len(BITS) cells, whether it holds an odd number of the set's tokens. Two sets differ
+#: in as many tokens at least as their bitmaps do in cells, so a pair whose bitmaps differ by more than a link allows
+#: has no link.
+BITS = [f"b{k}" for k in range(8)]
 
 
 def frequent_tokens(texts: DataFrame, words: int, share: float, least: int = 8, most: int = 1 << 19) -> np.ndarray:
@@ -90,16 +96,17 @@ def sized_alike(a: Column, b: Column, num: int, den: int) -> Column:
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, words: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, sig, prefix (array of long) of every document; empty sets have n 0."""
+    """doc_id, n, sig, prefix (array of long) and bitmap (BITS) of every document; empty sets have n 0."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # bounded by ``most`` of frequent_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent = shared.value
         for batch in batches:
             for part, sets in shingle_sets(batch, words):
-                size, sig, prefix = [], [], []
-                for s in sets:
+                size, sig, prefix, cells = [], [], [], np.zeros((len(sets), 64 * len(BITS)), bool)
+                for row, s in zip(cells, sets, strict=True):
                     n = len(s)
+                    row[:] = np.bincount((s % np.uint64(len(row))).astype(np.int64), minlength=len(row)) & 1
                     take = n + (-n * num // den) + 1 if n else 0
                     first = s[:take]
                     if len(frequent) and n:
@@ -111,9 +118,19 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, words: int, num: int, den: i
                     prefix.append(first)
                 at = np.concatenate([[0], np.cumsum([len(x) for x in prefix])])
                 flat = np.concatenate(prefix).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size, pa.int64()), pa.array(sig, pa.int64()), list_column(flat, at, pa.int64())], names=["doc_id", "n", "sig", "prefix"])
+                bits = np.packbits(cells, axis=1).view(np.int64)
+                columns = [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(sig, pa.int64()), list_column(flat, at, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(b, pa.int64()) for b in bits.T.copy()], names=["doc_id", "n", "sig", "prefix", *BITS])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, sig long, prefix array<long>, " + ", ".join(f"{b} long" for b in BITS))
+
+
+def may_link(x: str, y: str, num: int, den: int) -> Column:
+    """Whether sizes and bitmaps of the structs x and y allow a link: sets that differ in d tokens of n1 + n2 are similar
+    only if d (num + den) <= (den - num) (n1 + n2)."""
+    apart = reduce(add, [F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in BITS])
+    total = F.col(f"{x}.n") + F.col(f"{y}.n")
+    return sized_alike(F.col(f"{x}.n"), F.col(f"{y}.n"), num, den) & (apart * F.lit(num + den) <= F.lit(den - num) * total)
 
 
 def chosen(docs: DataFrame, ids: DataFrame, most: int = 1 << 20) -> DataFrame:
@@ -215,10 +232,10 @@ def similar_documents(documents: DataFrame, words: int = 5, num: int = 80, den:
     listed = written(prefixes(docs, frequent, words, num, den), "prefixes")
     rows = listed.select("doc_id", "n", "sig")
     # Equal sets: one entity. Equal sizes and prefixes: one group, known by its smallest entity.
-    real = listed.where("n > 0").select("doc_id", "n", "sig", F.xxhash64("n", "prefix").alias("key"))
-    entities = written(real.groupBy("sig", "n", "key").agg(F.min("doc_id").alias("doc_id")), "entities")
+    real = listed.where("n > 0").select("doc_id", "n", "sig", F.xxhash64("n", "prefix").alias("key"), *BITS)
+    entities = written(real.groupBy("sig", "n", "key", *BITS).agg(F.min("doc_id").alias("doc_id")), "entities")
     groups = entities.groupBy("key").agg(F.min("sig").alias("group"), F.min_by("doc_id", "sig").alias("leader"))
-    members = written(entities.join(groups, "key").select("sig", "n", "doc_id", "group", "leader"), "members")
+    members = written(entities.join(groups, "key").select("sig", "n", "doc_id", "group", "leader", *BITS), "members")
 
     token = Window.partitionBy("token").orderBy("n", "group")
     leaders = members.where("sig = group").select(F.col("leader").alias("doc_id"), "sig")
@@ -237,11 +254,16 @@ def similar_documents(documents: DataFrame, words: int = 5, num: int = 80, den:
     pairs = written(best.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "pairs")
     known = written(merged(known, verified(pairs, docs, members, words, num, den)), "classes")
 
-    # All other classes that meet in enough tokens, as pairs of groups; then their members, where sizes allow a link.
+    # All other classes that meet in enough tokens, as pairs of groups; then their members, of the class of fewer members
+    # first, where sizes and bitmaps allow a link.
     close = meeting(met, known, num, den)
-    a = known.select(F.col("class").alias("ca"), F.col("sig").alias("a"), F.col("n").alias("na"))
-    b = known.select(F.col("class").alias("cb"), F.col("sig").alias("b"), F.col("n").alias("nb"))
-    more = close.select("ca", "cb").join(a, "ca").join(b, "cb").where(sized_alike(F.col("na"), F.col("nb"), num, den)).select("a", "b")
+    counts = known.groupBy("class").agg(F.count(F.lit(1)).alias("members"))
+    close = close.join(counts.select(F.col("class").alias("ca"), F.col("members").alias("ma")), "ca").join(counts.select(F.col("class").alias("cb"), F.col("members").alias("mb")), "cb")
+    few = F.col("ma") <= F.col("mb")
+    close = close.select(F.when(few, F.col("ca")).otherwise(F.col("cb")).alias("ca"), F.when(few, F.col("cb")).otherwise(F.col("ca")).alias("cb"))
+    member = F.struct("sig", "n", *BITS)
+    a, b = known.select(F.col("class").alias("ca"), member.alias("x")), known.select(F.col("class").alias("cb"), member.alias("y"))
+    more = close.join(a, "ca").join(b, "cb").where(may_link("x", "y", num, den)).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"))
     more = written(more, "pairs")
     discard(met)
     late = verified(more, docs, members, words, num, den)
