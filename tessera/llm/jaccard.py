@@ -184,15 +184,28 @@ def apart(met: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def meeting(met: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
-    """ca, cb, shared: pairs of classes (ca < cb) that share the prefix tokens that a link between members would need."""
+    """ca, cb, shared: pairs of classes (ca < cb) that share the prefix tokens that a link between members would need.
+
+    A class has the range of its members' sizes, and of each cell of their bitmaps whether it is 1 in all (bit_and) or in
+    any (bit_or): where two classes' cells are the same in all members and differ between them, so do all pairs' cells.
+    """
     held = apart(met, known).select("token", "class").distinct()
-    sizes = known.groupBy("class").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    x, y = held.select("token", F.col("class").alias("ca")), held.select("token", F.col("class").alias("cb"))
-    pairs = x.join(y, "token").where("ca < cb").groupBy("ca", "cb").agg(F.count(F.lit(1)).alias("shared"))
-    pairs = pairs.join(sizes.select(F.col("class").alias("ca"), F.col("low").alias("la"), F.col("high").alias("ha")), "ca")
-    pairs = pairs.join(sizes.select(F.col("class").alias("cb"), F.col("low").alias("lb"), F.col("high").alias("hb")), "cb")
-    enough = F.col("shared") >= least_shared(F.least("la", "lb"), F.greatest("ha", "hb"), num, den) - 1e-6
-    return pairs.where(enough & (F.col("ha") * den >= F.col("lb") * num) & (F.col("hb") * den >= F.col("la") * num)).select("ca", "cb", "shared")
+    cells = [x for b in BITS for x in (F.bit_and(b).alias(f"all_{b}"), F.bit_or(b).alias(f"any_{b}"))]
+    kind = known.groupBy("class").agg(F.min("n").alias("low"), F.max("n").alias("high"), *cells)
+    rows = held.join(kind, "class").select("token", F.struct(*kind.columns).alias("c"))
+    x, y = rows.select("token", F.col("c").alias("x")), rows.select("token", F.col("c").alias("y"))
+
+    def differing(b: str) -> Column:
+        all_x, any_x, all_y, any_y = (F.col(f"{c}.{k}_{b}") for c in "xy" for k in ("all", "any"))
+        mixed = all_x.bitwiseXOR(any_x).bitwiseOR(all_y.bitwiseXOR(any_y))
+        return F.bit_count(all_x.bitwiseXOR(all_y).bitwiseAND(F.bitwise_not(mixed)))
+
+    sizes = (F.col("x.high") * den >= F.col("y.low") * num) & (F.col("y.high") * den >= F.col("x.low") * num)
+    cells = reduce(add, [differing(b) for b in BITS]) * F.lit(num + den) <= F.lit(den - num) * (F.col("x.high") + F.col("y.high"))
+    pairs = x.join(y, "token").where((F.col("x.class") < F.col("y.class")) & sizes & cells)
+    pairs = pairs.select(F.col("x.class").alias("ca"), F.col("y.class").alias("cb"), F.least("x.low", "y.low").alias("low"), F.greatest("x.high", "y.high").alias("high"))
+    pairs = pairs.groupBy("ca", "cb", "low", "high").agg(F.count(F.lit(1)).alias("shared"))
+    return pairs.where(F.col("shared") >= least_shared(F.col("low"), F.col("high"), num, den) - 1e-6).select("ca", "cb", "shared")
 
 
 def beside(met: DataFrame, num: int, den: int) -> DataFrame:
