@@ -9,8 +9,8 @@ of them, as beyond its prefix a set has ceil(t n) - 1 tokens.
 2. Equal sets become one entity; entities of equal size and prefix become one group, which alone meets others.
 3. Each entity is compared with its group's leader, and each group with a likely neighbour and the centre of its
    surroundings; then each class with the few that share most tokens: classes form from a few comparisons each.
-4. Classes that share enough prefix tokens (filtered as group pairs) are expanded, and members of different
-   classes are compared. No link between classes is lost, and links within a class need no proof.
+4. Classes that share enough prefix tokens, and whose bitmaps allow it, are expanded, and members of different
+   classes whose bitmaps allow a link are compared. No link between classes is lost, and links within a class need no proof.
 Comparisons are exact, on the whole sets. Copies of a text cost one row in every step after the first.
 """
 
