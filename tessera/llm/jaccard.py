@@ -188,6 +188,8 @@ def meeting(met: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
 
     A class has the range of its members' sizes, and of each cell of their bitmaps whether it is 1 in all (bit_and) or in
     any (bit_or): where two classes' cells are the same in all members and differ between them, so do all pairs' cells.
+    Members of different groups share only tokens that met holds; members of one group share their whole prefix, whether
+    or not another group holds any of it, so classes with members in one group are a pair of their own.
     """
     held = apart(met, known).select("token", "class").distinct()
     cells = [x for b in BITS for x in (F.bit_and(b).alias(f"all_{b}"), F.bit_or(b).alias(f"any_{b}"))]
@@ -202,10 +204,19 @@ def meeting(met: DataFrame, known: DataFrame, num: int, den: int) -> DataFrame:
 
     sizes = (F.col("x.high") * den >= F.col("y.low") * num) & (F.col("y.high") * den >= F.col("x.low") * num)
     cells = reduce(add, [differing(b) for b in BITS]) * F.lit(num + den) <= F.lit(den - num) * (F.col("x.high") + F.col("y.high"))
-    pairs = x.join(y, "token").where((F.col("x.class") < F.col("y.class")) & sizes & cells)
+    allowed = (F.col("x.class") < F.col("y.class")) & sizes & cells
+    pairs = x.join(y, "token").where(allowed)
     pairs = pairs.select(F.col("x.class").alias("ca"), F.col("y.class").alias("cb"), F.least("x.low", "y.low").alias("low"), F.greatest("x.high", "y.high").alias("high"))
     pairs = pairs.groupBy("ca", "cb", "low", "high").agg(F.count(F.lit(1)).alias("shared"))
-    return pairs.where(F.col("shared") >= least_shared(F.col("low"), F.col("high"), num, den) - 1e-6).select("ca", "cb", "shared")
+    pairs = pairs.where(F.col("shared") >= least_shared(F.col("low"), F.col("high"), num, den) - 1e-6).select("ca", "cb", "shared")
+
+    split = known.groupBy("group").agg(F.min("class").alias("first"), F.max("class").alias("last")).where("first < last").select("group")
+    prefix = F.col("n") - F.ceil(F.col("n") * num / den) + 1
+    within = known.select("group", "class", prefix.alias("prefix")).distinct().join(split, "group")
+    within = within.join(kind, "class").select("group", "prefix", F.struct(*kind.columns).alias("c"))
+    x, y = within.select("group", "prefix", F.col("c").alias("x")), within.select("group", F.col("c").alias("y"))
+    inner = x.join(y, "group").where(allowed).select(F.col("x.class").alias("ca"), F.col("y.class").alias("cb"), F.col("prefix").alias("shared"))
+    return pairs.unionAll(inner).groupBy("ca", "cb").agg(F.max("shared").alias("shared"))
 
 
 def beside(met: DataFrame, num: int, den: int) -> DataFrame:

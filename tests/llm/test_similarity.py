@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import embeddings, jaccard, ring, suffixes
@@ -164,6 +165,27 @@ def test_jaccard_query(spark):
     assert got == brute_jaccard(rows, 4, 85, 100)
 
 
+def one_prefix(seed, least):
+    """x, y, z of 50 shingles and one prefix, where y links with both and x and z do not; the least-th has the least signature."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(9))
+    while True:
+        y = [word() for _ in range(54)]
+        texts = [" ".join(w) for w in ([word() for _ in range(3)] + y[3:], y, y[:-3] + [word() for _ in range(3)])]
+        ((_, sets),) = jaccard.shingle_sets(pa.RecordBatch.from_pydict({"text": texts}), 5)
+        signs = [jaccard.signature(s) for s in sets]
+        if len({s[:11].tobytes() for s in sets}) == 1 and signs.index(min(signs)) == least:
+            return texts
+
+
+def test_jaccard_links_within_a_group(spark):
+    rows = [(i, t) for i, t in enumerate(t for least in range(3) for t in one_prefix(least, least))]
+    want = brute_jaccard(rows, 5, 80, 100)
+    assert {c for _, c in want.values()} == {0, 3, 6}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()}
+    assert got == want
+
+
 def test_jaccard_empty_and_repeated(spark):
     assert jaccard.similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "")], "doc_id long, text string")
