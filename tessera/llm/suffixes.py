@@ -2,14 +2,14 @@
 
 A suffix is kept where the hash of its first ``gram`` words is the least of a window of ``window`` such hashes, so
 the same passage keeps the same suffixes wherever it stands: a passage of ``least`` words has one among its first
-``window`` words. Kept suffixes are sorted by their first ``key`` words; those with a neighbour of equal key are
-compared with neighbours in the order of what follows, in the order of what precedes (read backwards), and with the
-first of their key, each match extended to the left and right. Matches of ``least`` words or more, in the same or
-another document, are repeats; all but the first occurrence (by doc_id and place) are reported.
+``window`` words. Kept suffixes are sorted by their first ``key`` words. Where suffixes of equal key differ in their
+neighbourhoods, every run of ``least`` words is listed with the one kept suffix that it always has, and compared with the
+first occurrence (by doc_id and place) of an equal run. Equal runs, in the same or another document, are repeats; all but
+the first occurrence are reported, overlapping runs as one span.
 
 Suffixes whose whole neighbourhood (``least`` words to either side) is equal are one row in the comparisons, so copies
 of documents cost no more than their sort. Words are runs of anything but white space, compared by 64-bit hashes
-(neighbourhoods word by word, by 32 bits); white space between words plays no part.
+(runs by those of the key and of the whole run); white space between words plays no part.
 """
 
 from __future__ import annotations
@@ -97,55 +97,47 @@ def suffix_rows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key long, around long, doc_id long, place int, left int, right int")
 
 
-def neighbourhoods(texts: DataFrame) -> DataFrame:
-    """Of texts with places (array of key, around, place): key, around, doc_id, place, and the words that precede
-    (nearest first) and that follow the key, as 4 bytes each, so that bytes sort as words do."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "text", 2 << 20):
-                word, first, _ = words(*flat_bytes(part.column("text")), lower=False)
-                short = (word >> np.uint64(32)).astype(">u4")
-                rows = []
-                for doc, a, b, places in zip(part.column("doc_id").to_pylist(), first[:-1].tolist(), first[1:].tolist(), part.column("places").to_pylist(), strict=True):
-                    for p in places:
-                        at = a + p["place"]
-                        if at + KEY <= b:
-                            rows.append((p["key"], p["around"], doc, p["place"], short[max(a, at - LEAST) : at][::-1].tobytes(), short[at + KEY : min(b, at + LEAST)].tobytes()))
-                columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["key", "around", "doc_id", "place", "back", "ahead"])
-
-    return texts.mapInArrow(run, "key long, around long, doc_id long, place int, back binary, ahead binary")
-
-
-def common_words(a: bytes, b: bytes) -> int:
-    n = min(len(a), len(b)) // 4
-    if not n:
-        return 0
-    differ = np.flatnonzero(np.frombuffer(a, ">u4", n) != np.frombuffer(b, ">u4", n))
-    return int(differ[0]) if len(differ) else n
+def runs_through(texts: DataFrame) -> DataFrame:
+    """Of texts with places (array of key, around, place): key, around, doc_id, place, lead, run (hash) of every run of
+    LEAST words whose kept suffix, ``lead`` words after its start, stands at one of the places.
 
+    A run's kept suffix is the first of least hash among its first WINDOW grams, so it is the same wherever the run
+    stands, and each run is listed once.
+    """
 
-def extended(pairs: DataFrame) -> DataFrame:
-    """Of pairs (key, one, other: structs of around, doc_id, place, back, ahead): the later one's key, around, the
-    words that match to its left and right, and the earlier one's doc_id, for matches of LEAST words or more."""
+    def found(part: pa.RecordBatch) -> pa.RecordBatch:
+        word, first, _ = words(*flat_bytes(part.column("text")), lower=False)
+        sums = running(word)
+        each = part.column("places")
+        owner = np.repeat(np.arange(part.num_rows), each.value_lengths().to_numpy())
+        key, around, place = (x.to_numpy() for x in each.flatten().flatten())
+        at = first[:-1][owner] + place
+        # An id that recurs with another text brings places of that text: they are none of this one.
+        own = np.flatnonzero(at + KEY <= first[1:][owner])
+        own = own[run_hash(sums, at[own], at[own] + KEY).astype(np.int64) == key[own]]
+        order = own[np.argsort(at[own], kind="stable")]
+        begins = at[order]
+        start = np.flatnonzero(np.repeat(first[1:], np.diff(first)) - np.arange(len(word)) >= LEAST)
+        start = start[np.searchsorted(begins, start) < np.searchsorted(begins, start + WINDOW)]
+        if not len(start):
+            start = lead = np.zeros(0, np.int64)
+        else:
+            gram = run_hash(sums, np.arange(len(word) - GRAM + 1), np.arange(GRAM, len(word) + 1)) >> np.uint64(1)
+            windows = np.lib.stride_tricks.sliding_window_view(gram, WINDOW)
+            lead = np.concatenate([windows[start[i : i + (1 << 16)]].argmin(axis=1) for i in range(0, len(start), 1 << 16)])
+        lo, hi = (np.searchsorted(begins, start + lead, side) for side in ("left", "right"))
+        pick = np.repeat(np.arange(len(start)), hi - lo)
+        row = order[np.arange(len(pick)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)]
+        start, lead = start[pick], lead[pick]
+        columns = [pa.array(key[row]), pa.array(around[row]), part.column("doc_id").take(pa.array(owner[row])), pa.array(place[row].astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(run_hash(sums, start, start + LEAST).astype(np.int64))]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "around", "doc_id", "place", "lead", "run"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, x, y in zip(batch.column("key").to_pylist(), batch.column("one").to_pylist(), batch.column("other").to_pylist(), strict=True):
-                if (x["doc_id"], x["place"]) == (y["doc_id"], y["place"]):
-                    continue
-                left, right = common_words(x["back"], y["back"]), KEY + common_words(x["ahead"], y["ahead"])
-                if left + right >= LEAST:
-                    late, early = (x, y) if (x["doc_id"], x["place"]) > (y["doc_id"], y["place"]) else (y, x)
-                    rows.append((key, late["around"], left, right, early["doc_id"]))
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["key", "around", "left", "right", "first_doc_id"])
+            for part in chunks(batch, "text", 1 << 20):
+                yield found(part)
 
-    return pairs.mapInArrow(run, "key long, around long, left int, right int, first_doc_id long")
+    return texts.mapInArrow(run, "key long, around long, doc_id long, place int, lead int, run long")
 
 
 def joined_spans(spans: DataFrame) -> DataFrame:
@@ -177,19 +169,17 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     differing = heads.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     places = written(heads.join(differing, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "around", "place")).alias("places")), "places")
     texts = chosen(docs, places.select("doc_id")).join(places, "doc_id")
-    near = written(neighbourhoods(texts).dropDuplicates(["key", "around"]), "neighbourhoods")
-    one = F.struct("around", "doc_id", "place", "back", "ahead")
-    order_ahead = Window.partitionBy("key").orderBy("ahead", "doc_id", "place")
-    order_back = Window.partitionBy("key").orderBy("back", "doc_id", "place")
-    beside = near.select("key", one.alias("one"), F.lag(one).over(order_ahead).alias("x"), F.lag(one).over(order_back).alias("y"))
-    first = near.groupBy("key").agg(F.min_by(one, F.struct("doc_id", "place")).alias("other"))
-    pairs = beside.where("x is not null").select("key", "one", F.col("x").alias("other")).unionAll(beside.where("y is not null").select("key", "one", F.col("y").alias("other"))).unionAll(near.select("key", one.alias("one")).join(first, "key"))
-    matches = extended(pairs).groupBy("key", "around").agg(F.min("first_doc_id").alias("first_doc_id"), F.collect_set(F.struct("left", "right")).alias("each"))
+    runs = written(runs_through(texts), "runs")
+    where = F.struct("doc_id", "place")
+    first = runs.groupBy("key", "run").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first < last").drop("last")
+    later = runs.join(first, ["key", "run"]).where(where > F.col("first"))
+    # Leads are less than LEAST apart, so a suffix's runs overlap and make one span.
+    matches = later.groupBy("key", "around").agg(F.max("lead").alias("l"), (F.lit(LEAST) - F.min("lead")).alias("r"), F.min("first.doc_id").alias("first_doc_id"))
 
     start, stop = (F.col("place") - F.col("l")).alias("start"), (F.col("place") + F.col("r")).alias("stop")
     equal = shared.where((F.col("head.doc_id") < F.col("doc_id")) | ((F.col("head.doc_id") == F.col("doc_id")) & (F.col("head.place") < F.col("place")))).where(F.col("left") + F.col("right") >= LEAST)
     spans = equal.select("doc_id", F.col("place") - F.col("left"), F.col("place") + F.col("right"), F.col("head.doc_id").alias("first_doc_id"))
-    found = shared.join(matches.select("key", "around", "first_doc_id", F.explode("each").alias("m")), ["key", "around"]).select("doc_id", "place", F.col("m.left").alias("l"), F.col("m.right").alias("r"), "first_doc_id").select("doc_id", start, stop, "first_doc_id")
+    found = shared.join(matches, ["key", "around"]).select("doc_id", start, stop, matches["first_doc_id"])
     out = joined_spans(spans.toDF("doc_id", "start", "stop", "first_doc_id").unionAll(found).distinct())
     return out.select("doc_id", "start", "stop", (F.col("stop") - F.col("start")).alias("n_words"), "first_doc_id")
 

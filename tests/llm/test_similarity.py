@@ -236,6 +236,20 @@ def test_repeats(spark):
     assert covered(spark, rows) == brute_repeats(rows, suffixes.LEAST)
 
 
+def test_repeats_behind_a_shorter_first_occurrence(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(3, 9)))
+    fill = lambda n: [word() for _ in range(n)]
+    rows = []
+    for size in range(50, 67):
+        for _ in range(3):
+            passage, part = fill(size), rng.randint(32, 49)
+            a = (size - part) // 2
+            rows += [(len(rows), " ".join(fill(70) + passage[a : a + part] + fill(70)))]
+            rows += [(len(rows) + i, " ".join(fill(70) + passage + fill(70))) for i in range(4)]
+    assert covered(spark, rows) == brute_repeats(rows, suffixes.LEAST)
+
+
 def test_repeats_query(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     want = brute_repeats(rows, suffixes.LEAST)
