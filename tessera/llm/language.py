@@ -52,12 +52,14 @@ def softmax(z: np.ndarray) -> np.ndarray:
 @dataclass(frozen=True)
 class LanguageModel:
     languages: tuple[str, ...]
-    table: np.ndarray  # BUCKETS x languages: embeddings times layer, already divided by the temperature
+    table: np.ndarray  # BUCKETS x languages: embeddings times layer, already divided by the temperature; or embeddings
     bias: np.ndarray
     threshold: float
+    layer: np.ndarray | None = None  # of more languages than the embeddings have numbers: the layer, kept apart
 
     def probabilities(self, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
-        return softmax(logits_sum(flat, at, self.table) + self.bias)
+        mean = logits_sum(flat, at, self.table)
+        return softmax((mean if self.layer is None else mean @ self.layer) + self.bias)
 
 
 def fit(sample: pa.Table, dim: int = 16, epochs: int = 12, rate: float = 0.5, tolerated: float = 0.0005, window: int = 2000, seed: int = 7) -> LanguageModel:
@@ -69,7 +71,8 @@ def fit(sample: pa.Table, dim: int = 16, epochs: int = 12, rate: float = 0.5, to
     names = tuple(sorted({str(x) for x in sample.column("label").to_pylist()}))
     if not names:
         return LanguageModel((), np.zeros((BUCKETS, 0)), np.zeros(0), 0.0)
-    y = np.array([names.index(str(x)) for x in sample.column("label").to_pylist()])
+    number = {name: i for i, name in enumerate(names)}
+    y = np.array([number[str(x)] for x in sample.column("label").to_pylist()])
     flat, at = flat_bytes(sample.column("text").combine_chunks())
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
@@ -99,13 +102,15 @@ def fit(sample: pa.Table, dim: int = 16, epochs: int = 12, rate: float = 0.5, to
             layer -= step * 20 * hidden.T @ g
             bias -= step * 0.1 * g.sum(axis=0)
             np.subtract.at(embed, bucket, step * 200 * part[:, None] * back[owner])
-    table = embed @ layer
+    apart = len(names) > dim
+    table, after = (embed, layer) if apart else (embed @ layer, np.eye(len(names)))
     test = sample.take(pa.array(held)).column("text").combine_chunks()
-    z = np.concatenate([logits_sum(*flat_bytes(test.slice(i, 512)), table) + bias for i in range(0, len(held), 512)])
+    z = np.concatenate([logits_sum(*flat_bytes(test.slice(i, 512)), table) @ after + bias for i in range(0, len(held), 512)])
     loss = lambda s: -np.log(softmax(z * s)[np.arange(len(held)), y[held]] + 1e-12).mean()
     sharp = min((2.0**k for k in np.arange(-4, 6.01, 0.25)), key=loss)
     best = softmax(z * sharp).max(axis=1)
-    return LanguageModel(names, table * sharp, bias * sharp, 0.8 * float(np.quantile(best, tolerated)))
+    threshold = 0.8 * float(np.quantile(best, tolerated))
+    return LanguageModel(names, table, bias * sharp, threshold, layer * sharp) if apart else LanguageModel(names, table * sharp, bias * sharp, threshold)
 
 
 def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
@@ -114,7 +119,7 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
     Null texts and texts without a letter are ``und`` with score 0, and rejected. A text whose best probability is
     below the model's threshold keeps its language and is rejected. Columns of df with these names are replaced.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats
+    shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages floats, or BUCKETS x dim of more languages than dim
     new = ("lang_pred", "score", "rejected")
     kept = [f for f in df.schema.fields if f.name not in new]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", lang_pred string, score double, rejected boolean"

@@ -2,43 +2,57 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Values of a label that a sample can have; more are left out, the rarest first.
+#: Values of a label that have a sample of full size each; more values share the rows of so many equally.
 CLASSES = 64
 #: Parts of the hash range by which rows are chosen.
 PARTS = 1 << 30
 
 
 def thinned(rows: DataFrame, label: str, most: int) -> DataFrame:
-    """About ``most`` rows (or all) of each label value, chosen by a hash of doc_id against the value's share of rows."""
+    """About ``most`` rows (or all) of each label value, chosen by a hash of doc_id against the value's share of rows.
+
+    No value is left out: of more than CLASSES values each has as many rows fewer as keeps the total.
+    """
     known = rows.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    counts = known.groupBy(label).count().orderBy(F.desc("count"), label).limit(CLASSES).collect()
+    counts = known.groupBy(label).count().collect()  # a row for each label value
+    each = max(1, min(most, CLASSES * most // max(1, len(counts))))
     part = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(PARTS))
-    chosen = [(F.col(label) == F.lit(r[label])) & (part < int(PARTS * min(1.0, most / r["count"]))) for r in counts]
-    return known.where(reduce(lambda a, b: a | b, chosen, F.lit(False)))
+    kind = rows.schema[label].dataType.simpleString()
+    limits = rows.sparkSession.createDataFrame([(r[label], int(PARTS * min(1.0, each / r["count"]))) for r in counts], f"`{label}` {kind}, _limit long")
+    return known.join(F.broadcast(limits), label).where(part < F.col("_limit")).select(*rows.columns)
 
 
 def gathered(rows: DataFrame, label: str, most: int, most_bytes: int) -> pa.Table:
     """rows (doc_id, text, label) at the driver: text and label, in an order that depends on the rows alone.
 
     The bound of the classifiers' samples, and all that the driver sees of the corpus: about ``most`` rows for each label
-    value (never over 2 * CLASSES * most), and ``most_bytes`` of text over all values in equal shares.
+    value (never over 2 * CLASSES * most), and ``most_bytes`` of text over all values in equal shares. A value none of
+    whose texts fits into its share has the beginning of one, and a very long text is there with its beginning.
     """
     size = F.octet_length("text")
-    slim = rows.where(F.col("text").isNotNull() & (size <= most_bytes // 32)).select("doc_id", "text", F.col(label).alias("label"))
+    text = F.when(size <= most_bytes // 32, F.col("text")).otherwise(F.substring("text", 1, most_bytes // 128))
+    slim = rows.where(F.col("text").isNotNull()).select("doc_id", text.alias("text"), F.col(label).alias("label"))
     table = slim.limit(2 * CLASSES * most).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     values = table.column("label").to_pylist()
-    share, used, keep = most_bytes // max(1, len(set(values))), {}, []
+    share, used, keep, cut = most_bytes // max(1, len(set(values))), {}, [], {}
     for i, (value, n) in enumerate(zip(values, (len(x.as_py()) for x in table.column("text").cast(pa.binary())), strict=True)):
         used[value] = used.get(value, 0) + n
         if used[value] <= share:
             keep.append(i)
-    return table.take(pa.array(keep, pa.int64())).drop_columns(["doc_id"])
+        elif used[value] == n:  # its first text
+            keep.append(i)
+            cut[len(keep) - 1] = max(1, share)
+    found = table.take(pa.array(keep, pa.int64())).drop_columns(["doc_id"])
+    if not cut:
+        return found
+    texts = found.column("text").to_pylist()
+    for i, n in cut.items():
+        texts[i] = texts[i].encode()[:n].decode(errors="ignore")
+    return found.set_column(found.schema.get_field_index("text"), "text", pa.chunked_array([pa.array(texts, found.schema.field("text").type)]))
 
 
 def labelled_sample(documents: DataFrame, label: str, most: int, most_bytes: int = 24 << 20) -> pa.Table:

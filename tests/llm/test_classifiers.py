@@ -3,10 +3,11 @@
 import random
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm import language, quality, toxicity
+from tessera.llm import language, learning, quality, toxicity
 from tessera.llm import queries as registered
 from tessera.llm.grams import byte_grams
 from tessera.llm.common import flat_bytes
@@ -105,3 +106,18 @@ def test_scores_of_odd_rows(spark, module):
     assert len({r["score"] for r in rows if r["doc_id"] in (0, 1)}) == 1
     assert run(odd_rows(spark).where("false"), labels).count() == 0
     assert run(odd_rows(spark), labels.where("false")).count() == len(ODD) + 1
+
+
+def test_no_language_is_left_out_of_training(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(70):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)]
+        rows += [(len(rows) + i, " ".join(rng.choice(words, 40)), f"l{k:02}") for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.trained(df)
+    assert model.languages == tuple(f"l{k:02}" for k in range(70)) and model.layer is not None
+    out = language.identify(df, model).select("lang", "lang_pred").collect()
+    assert len({r["lang"] for r in out if r["lang"] == r["lang_pred"]}) > 64  # nine rows of each are few to learn from
+    small = learning.labelled_sample(df, "lang", 1500, most_bytes=14_000)  # a share is less than a text
+    assert set(small.column("label").to_pylist()) == set(model.languages) and all(len(t) <= 200 for t in small.column("text").to_pylist())
