@@ -510,7 +510,7 @@ SAMPLING = ((2, 2), (1, 1), (1, 1))
 def dimensions(blocks: int) -> tuple[int, int]:
     """Width and height, in samples, of a picture of 4:2:0 that has so many blocks or a few more."""
     mcus = max(1, -(-blocks // 6))
-    down = max(-(-mcus // 4095), round(mcus / 64)) or 1
+    down = max(-(-mcus // 4095), min(4095, round(mcus / 64))) or 1
     return -(-mcus // down) * 16, down * 16
 
 

@@ -177,3 +177,10 @@ def test_empty_tables(spark):
     assert bpe.encode_decode(none, P.path("byte_bpe_multi_50k.tiktoken")).count() == 0
     assert media.media_digests(none).count() == 0
     assert packing.pack_documents(none, P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")).count() == 0
+
+
+@pytest.mark.parametrize("blocks", [0, 1, 2000, 6 * 64 * 4095, 6 * 64 * 4096, 4_000_000, 6 * 4095 * 4095])
+def test_pictures_of_many_blocks_fit_the_format(blocks):
+    width, height = jpeg.dimensions(blocks)
+    assert 16 <= width <= 65535 and 16 <= height <= 65535
+    assert width * height // 256 * 6 >= blocks
