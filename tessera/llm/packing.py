@@ -11,10 +11,10 @@ their places.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,11 @@ from tessera.llm.common import chunks, ranked, written
 #: Characters about which versions of Unicode, and so the two libraries' patterns, could differ.
 RARE = regex.compile(r"[^\u0000-ӿ]")
 
+#: Pieces that next fit packs at once; equal templates stand for more.
+TEMPLATE = 20480
+#: The fill of no bin.
+NONE = 1 << 60
+
 Bins = tuple[tuple[tuple[int, int], ...], int]  # ((length, how many in a bin), ...), number of such bins
 
 
@@ -79,106 +84,162 @@ def tokenized_pieces(documents: DataFrame, vocabulary: str, ranks: str | None, c
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[Bins]:
-    """Best fit, longest first, for all pieces of a length at once."""
-    spaces: list[int] = []
-    open_bins: dict[int, list[Bins]] = {}
-    full: list[Bins] = []
-
-    def put(items, n):
-        left = capacity - sum(x * k for x, k in items)
-        if not left:
-            full.append((items, n))
-            return
-        if left not in open_bins:
-            insort(spaces, left)
-            open_bins[left] = []
-        open_bins[left].append((items, n))
-
-    for length in sorted(counts, reverse=True):
-        n = counts[length]
-        while n:
-            at = bisect_left(spaces, length)
-            if at == len(spaces):
-                items, bins, each = (), n, capacity // length
-            else:
-                left = spaces[at]
-                items, bins = open_bins[left].pop()
-                each = left // length
-                if not open_bins[left]:
-                    del open_bins[left], spaces[at]
-            whole = min(bins, n // each)
-            if whole:
-                put((*items, (length, each)), whole)
-                n -= whole * each
-                bins -= whole
-            if n and bins:  # fewer pieces than one bin would take
-                put((*items, (length, n)), 1)
-                n, bins = 0, bins - 1
-            if items and bins:
-                put(items, bins)
-    return full + [x for group in open_bins.values() for x in group]
-
-
-def exchange(a: Counter, b: Counter, fill_a: int, fill_b: int, capacity: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
-    """What leaves bin a for bin b and what comes back, so that the sum of squares grows most; None if nothing does."""
-    room, best, found = capacity - fill_b, 0, None
-    out = [(x,) for x in a] + [(x, y) for x in a for y in a if x < y or x == y and a[x] > 1]
-    back = [(0, ())] + sorted({(x, (x,)) for x in b} | {(x + y, (x, y)) for x in b for y in b if x < y or x == y and b[x] > 1})
-    sums = [s for s, _ in back]
-    for give in out:
-        most = sum(give)
-        # The change d = given - returned is at most the room: the least return of most - room or more is best.
-        at = bisect_left(sums, most - room)
-        while at < len(back) and len(give) == 2 and len(back[at][1]) == 2:
-            at += 1
-        if at < len(back):
-            d = most - sums[at]
-            if d > 0 and (gain := 2 * d * (fill_b - fill_a + d)) > best:
-                best, found = gain, (give, back[at][1])
-    return found
-
-
-def local_search(bins: list[Bins], capacity: int, steps: int = 5000, width: int = 48) -> list[Bins]:
-    """Exchanges between underfull bins while any raises the sum of squared fills and a bin may still be emptied.
+def next_fit(counts: dict[int, int], capacity: int, size: int = TEMPLATE) -> list[Bins]:
+    """The start of the search: next fit over the pieces in mixed order, which leaves room in nearly every bin.
 
-    steps bounds the exchanges and width how many of the emptiest and fullest groups a step looks at; they bound
-    effort alone, as every state is a whole packing.
+    Counts are divided by ``times``: a template of about ``size`` pieces is packed once and stands for ``times`` equal
+    ones, and what the division leaves is packed likewise, an eighth or less each round. So the number of groups
+    does not grow with the number of pieces but for the rounds, its logarithm.
     """
-    groups: Counter = Counter()
-    for items, n in bins:
-        groups[tuple(sorted(Counter(dict(items)).items()))] += n
-    total = sum(n * sum(x * k for x, k in items) for items, n in groups.items())
-    fill = lambda items: sum(x * k for x, k in items)
-    least = -(-total // capacity)
-    for _ in range(steps):
-        if sum(groups.values()) <= least:
-            break
-        under = sorted(((fill(g), g) for g in groups if fill(g) < capacity))
-        done = False
-        for fa, ga in under[:width]:
-            for fb, gb in reversed(under[-width:] if len(under) > width else under):
-                if fa > fb or (ga == gb and groups[ga] < 2):
-                    continue
-                if found := exchange(a := Counter(dict(ga)), b := Counter(dict(gb)), fa, fb, capacity):
-                    give, take = found
-                    k = groups[ga] // 2 if ga == gb else min(groups[ga], groups[gb])
-                    a.subtract(give)
-                    b.subtract(take)
-                    a.update(take)
-                    b.update(give)
-                    for g, n in ((ga, -k), (gb, -k), (tuple(sorted((+a).items())), k), (tuple(sorted((+b).items())), k)):
-                        groups[g] += n
-                        if not groups[g]:
-                            del groups[g]
-                    groups.pop((), None)
-                    done = True
-                    break
-            if done:
-                break
-        if not done:
-            break
-    return sorted(groups.items(), reverse=True)
+    left, bins, rng = dict(counts), [], np.random.default_rng(20240517)
+    size = max(size, 8 * len(counts))
+    while left:
+        times = max(1, sum(left.values()) // size)
+        part = {x: n // times for x, n in sorted(left.items()) if n >= times}
+        left = {x: n % times for x, n in left.items() if n % times}
+        items, room = Counter(), capacity
+        for x in rng.permutation(np.repeat(list(part), list(part.values()))).tolist():
+            if x > room:
+                bins.append((tuple(sorted(items.items())), times))
+                items, room = Counter(), capacity
+            items[x] += 1
+            room -= x
+        bins.append((tuple(sorted(items.items())), times))
+    return bins
+
+
+class LocalSearch:
+    """Exchanges between underfull bins, each of which raises the sum of squared fills.
+
+    A bin gets one document or two from a bin that is no fuller and returns none, one or (for one) two, so that its fill
+    rises as far as the other bins allow; the giver may be left empty. For every length, and for every sum of two
+    lengths of one bin, the emptiest bin that has it is indexed, so the best exchange among all pairs of bins is
+    looked up and not searched. Equal bins are one group and change together. It ends when no pair of bins has an
+    exchange left, or at the least possible number of bins. ``applied`` counts the exchanges of groups.
+    """
+
+    def __init__(self, bins: list[Bins], capacity: int):
+        self.capacity, self.applied = capacity, 0
+        self.number: Counter = Counter()
+        for items, n in bins:
+            self.number[tuple(sorted(items))] += n
+        self.bins = sum(self.number.values())
+        self.least = -(-sum(n * self.fill(g) for g, n in self.number.items()) // capacity)
+        self.pairs = False
+        self._index()
+
+    @staticmethod
+    def fill(group: tuple[tuple[int, int], ...]) -> int:
+        return sum(x * k for x, k in group)
+
+    def _index(self) -> None:
+        self.low = np.full((2, self.capacity + 1), NONE)  # fill of the emptiest bin with a length, and with a sum of two
+        self.heaps: list[dict[int, list]] = [{}, {}]
+        for group in self.number:
+            self._add(group)
+
+    def _sums(self, group) -> tuple[set[int], set[int]]:
+        one = {x for x, _ in group}
+        two = {x + y for x in one for y in one if x < y} | {2 * x for x, k in group if k > 1} if self.pairs else set()
+        return one, two
+
+    def _add(self, group) -> None:
+        fill = self.fill(group)
+        if fill < self.capacity:
+            for low, heaps, sums in zip(self.low, self.heaps, self._sums(group), strict=True):
+                for s in sums:
+                    heappush(heaps.setdefault(s, []), (fill, group))
+                    if fill < low[s]:
+                        low[s] = fill
+
+    def _drop(self, group) -> None:
+        """After the group left ``number``: entries at the top of a heap that are of no group go."""
+        fill = self.fill(group)
+        for low, heaps, sums in zip(self.low, self.heaps, self._sums(group), strict=True):
+            for s in sums:
+                if low[s] == fill and (heap := heaps.get(s)):
+                    while heap and not self.number.get(heap[0][1]):
+                        heappop(heap)
+                    low[s] = heap[0][0] if heap else NONE
+
+    def _change(self, group, n: int) -> None:
+        before = self.number[group]
+        self.number[group] += n
+        if not before:
+            self._add(group)
+        elif not self.number[group]:
+            del self.number[group]
+            self._drop(group)
+
+    def best(self, group) -> tuple[tuple, tuple[int, ...], tuple[int, ...]] | None:
+        """The group that gives, what it gives and what it gets; None if the fill of ``group`` can't rise."""
+        fill, lengths = self.fill(group), [x for x, _ in group]
+        room = self.capacity - fill
+        back = [(), *((x,) for x in lengths)]
+        two = [(x, y) for i, x in enumerate(lengths) for y in lengths[i + 1 :]] + [(x, x) for x, k in group if k > 1]
+        for low, heaps, returns in zip(self.low, self.heaps, (back + two, back), strict=True):
+            sums = np.array([sum(r) for r in returns])
+            last = np.maximum.accumulate(np.where(low <= fill, np.arange(len(low)), 0))
+            rise = last[np.minimum(sums + room, self.capacity)] - sums
+            at = int(rise.argmax())
+            if rise[at] > 0:
+                given = int(sums[at] + rise[at])
+                donor = heaps[given][0][1]
+                if heaps is self.heaps[0]:
+                    return donor, (given,), returns[at]
+                held = dict(donor)
+                x = next(x for x in held if given - x in held and (2 * x != given or held[x] > 1))
+                return donor, (x, given - x), returns[at]
+        return None
+
+    def improve(self, group) -> list[tuple]:
+        """Applies the best exchange for the group, if there is one; the groups that came of it."""
+        n = self.number[group]
+        if n == 1:  # a bin can't give to itself
+            del self.number[group]
+            self._drop(group)
+        found = self.best(group)
+        if n == 1:
+            self.number[group] = 1
+            self._add(group)
+        if not found:
+            return []
+        donor, give, take = found
+        k = n // 2 if donor == group else min(n, self.number[donor])
+        a, b = Counter(dict(donor)), Counter(dict(group))
+        a.subtract(give)
+        a.update(take)
+        b.subtract(take)
+        b.update(give)
+        after = [tuple(sorted((+x).items())) for x in (b, a)]
+        for g, m in ((group, -k), (donor, -k), (after[0], k), (after[1], k)):
+            if g:
+                self._change(g, m)
+            else:
+                self.bins -= m
+        self.applied += 1
+        return [g for g in (*after, group) if self.number.get(g) and self.fill(g) < self.capacity]
+
+    def run(self) -> list[Bins]:
+        """First with single documents alone; the larger index of sums of two is made of what that leaves."""
+        for self.pairs in (False, True):
+            self._index()
+            changed = True
+            while changed and self.bins > self.least:
+                changed = False
+                todo = [(-self.fill(g), g) for g in self.number if self.fill(g) < self.capacity]
+                heapify(todo)
+                while todo and self.bins > self.least:
+                    _, group = heappop(todo)
+                    if self.number.get(group):
+                        for g in self.improve(group):
+                            changed = True
+                            heappush(todo, (-self.fill(g), g))
+        return sorted(self.number.items(), key=lambda x: (-x[1], x[0]))
+
+
+def local_search(bins: list[Bins], capacity: int) -> list[Bins]:
+    return LocalSearch(bins, capacity).run()
 
 
 def places(bins: list[Bins]) -> list[tuple[int, int, int, int, int, int]]:
