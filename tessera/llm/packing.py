@@ -1,11 +1,11 @@
 """Packing documents into sequences of a fixed number of tokens.
 
 Pieces of equal length are interchangeable, so the search works on the counts of lengths: a table of at most
-``capacity`` rows at any input size. A start by best fit makes groups of equal bins; the local search then exchanges
+``capacity`` rows at any input size. A start by next fit leaves room in nearly every bin; the local search then exchanges
 one document for one, two for one or one for two, or moves one, between underfull bins, always raising the sum of
 squared fills, until no exchange helps or no bin is left to empty. Whole groups of equal bins change at once, so the
-work depends on the variety of bins and not on their number. Spark ranks the pieces of each length and looks up
-their places.
+work depends on the variety of bins and not on their number. What stays underfull is then mixed anew with some full
+bins and searched again. Spark ranks the pieces of each length and looks up their places.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ RARE = regex.compile(r"[^\u0000-ӿ]")
 
 #: Pieces that next fit packs at once; equal templates stand for more.
 TEMPLATE = 20480
+#: Underfull bins that an attempt to save some takes apart, and how many full ones it takes at least.
+MIXED = 128
 #: The fill of no bin.
 NONE = 1 << 60
 
@@ -84,14 +86,14 @@ def tokenized_pieces(documents: DataFrame, vocabulary: str, ranks: str | None, c
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def next_fit(counts: dict[int, int], capacity: int, size: int = TEMPLATE) -> list[Bins]:
+def next_fit(counts: dict[int, int], capacity: int, size: int = TEMPLATE, seed: int = 20240517) -> list[Bins]:
     """The start of the search: next fit over the pieces in mixed order, which leaves room in nearly every bin.
 
     Counts are divided by ``times``: a template of about ``size`` pieces is packed once and stands for ``times`` equal
     ones, and what the division leaves is packed likewise, an eighth or less each round. So the number of groups
     does not grow with the number of pieces but for the rounds, its logarithm.
     """
-    left, bins, rng = dict(counts), [], np.random.default_rng(20240517)
+    left, bins, rng = dict(counts), [], np.random.default_rng(seed)
     size = max(size, 8 * len(counts))
     while left:
         times = max(1, sum(left.values()) // size)
@@ -238,8 +240,40 @@ class LocalSearch:
         return sorted(self.number.items(), key=lambda x: (-x[1], x[0]))
 
 
-def local_search(bins: list[Bins], capacity: int) -> list[Bins]:
-    return LocalSearch(bins, capacity).run()
+def local_search(bins: list[Bins], capacity: int, kicks: int = 8) -> list[Bins]:
+    """Bins that no exchange fills further, after up to ``kicks`` attempts to save more of them.
+
+    Each attempt takes the emptiest bins and a few times as many others apart, packs them by next fit in another order
+    and searches again; it counts if that takes no more bins. It stops at the least possible number.
+    """
+    search = LocalSearch(bins, capacity)
+    best, total, least = search.run(), search.bins, search.least
+    rng = np.random.default_rng(20240518)
+    for kick in range(kicks):
+        if total <= least:
+            break
+        loose = sorted((x for x in best if LocalSearch.fill(x[0]) < capacity), key=lambda x: LocalSearch.fill(x[0]))
+        full = [x for x in best if LocalSearch.fill(x[0]) == capacity]
+        mixed: Counter = Counter()
+        for some, want in ((loose, MIXED), ([full[i] for i in rng.permutation(len(full))], MIXED * (1 + kick % 4))):
+            for group, n in some:
+                mixed[group] = min(n, want)
+                want -= mixed[group]
+                if not want:
+                    break
+        counts: Counter = Counter()
+        for items, n in mixed.items():
+            for x, k in items:
+                counts[x] += k * n
+        again = LocalSearch(next_fit(counts, capacity, seed=kick), capacity)
+        found = again.run()
+        before = sum(mixed.values())
+        if again.bins <= before:
+            left = Counter(dict(best))
+            left.subtract(mixed)
+            left.update(dict(found))
+            best, total = sorted((+left).items(), key=lambda x: (-x[1], x[0])), total - before + again.bins
+    return best
 
 
 def places(bins: list[Bins]) -> list[tuple[int, int, int, int, int, int]]:
@@ -262,7 +296,7 @@ def packed(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """
     spark = pieces.sparkSession
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
-    rows = places(local_search(best_fit(counts, capacity), capacity))
+    rows = places(local_search(next_fit(counts, capacity), capacity))
     where = spark.createDataFrame(rows, "length long, first long, stop long, each long, base long, at long")
     tie = [F.col(x) for x in ("doc_id", "piece", "start", "ids_crc32") if x in pieces.columns]
     numbered = ranked(pieces, ["length"], tie, F.xxhash64(*tie), rank="_rank")

@@ -123,7 +123,7 @@ def test_search_keeps_the_pieces_and_never_adds_bins():
         counts = Counter()
         for _ in range(rng.randint(1, 15)):
             counts[rng.randint(max(1, capacity // 3), capacity)] += rng.randint(1, 9)
-        start = packing.best_fit(dict(counts), capacity)
+        start = packing.next_fit(dict(counts), capacity)
         found = packing.local_search(start, capacity)
         for bins in (start, found):
             assert all(sum(x * k for x, k in items) <= capacity for items, _ in bins)
@@ -134,6 +134,40 @@ def test_search_keeps_the_pieces_and_never_adds_bins():
     assert better
 
 
+def least_bins(pieces, capacity):
+    """The optimum, by the fewest bins and then least fill of the last for every subset."""
+    best = {0: (1, 0)}
+    for some in range(1, 1 << len(pieces)):
+        options = []
+        for i, x in enumerate(pieces):
+            if some >> i & 1:
+                bins, fill = best[some ^ (1 << i)]
+                options.append((bins, fill + x) if fill + x <= capacity else (bins + 1, x))
+        best[some] = min(options)
+    return best[(1 << len(pieces)) - 1][0]
+
+
+def test_search_against_the_optimum():
+    rng = random.Random(11)
+    above = []
+    for _ in range(60):
+        pieces = [rng.randint(2, 20) for _ in range(rng.randint(1, 9))]
+        found = packing.local_search(packing.next_fit(Counter(pieces), 20), 20)
+        above.append(sum(n for _, n in found) - least_bins(pieces, 20))
+    assert min(above) >= 0 and max(above) <= 1 and sum(above) <= 6
+
+
+def test_exchanges_do_the_packing():
+    rng = random.Random(5)
+    counts = Counter(min(2048, int(rng.lognormvariate(5.5, 1.2)) + 1) for _ in range(6000))
+    start = packing.next_fit(counts, 2048)
+    search = packing.LocalSearch(start, 2048)
+    before = search.bins
+    search.run()
+    assert search.applied > 50 and search.bins < before
+    assert sum(n for _, n in packing.local_search(start, 2048)) <= search.least + 1
+
+
 def check_packing(rows, lengths, capacity):
     """rows: doc, piece, start, length, sequence_id, offset."""
     by_doc, by_sequence = {}, {}
