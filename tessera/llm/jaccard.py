@@ -96,7 +96,7 @@ def sized_alike(a: Column, b: Column, num: int, den: int) -> Column:
 
 
 def prefixes(docs: DataFrame, frequent: np.ndarray, words: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, sig, prefix (array of long) and bitmap (BITS) of every document; empty sets have n 0."""
+    """doc_id, place, text_key, n, sig, prefix (array of long) and bitmap (BITS) of every document; empty sets have n 0."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # bounded by ``most`` of frequent_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,10 +119,10 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, words: int, num: int, den: i
                 at = np.concatenate([[0], np.cumsum([len(x) for x in prefix])])
                 flat = np.concatenate(prefix).astype(np.int64)
                 bits = np.packbits(cells, axis=1).view(np.int64)
-                columns = [part.column("doc_id"), pa.array(size, pa.int64()), pa.array(sig, pa.int64()), list_column(flat, at, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array(b, pa.int64()) for b in bits.T.copy()], names=["doc_id", "n", "sig", "prefix", *BITS])
+                columns = [part.column("doc_id"), part.column("place"), part.column("text_key"), pa.array(size, pa.int64()), pa.array(sig, pa.int64()), list_column(flat, at, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(b, pa.int64()) for b in bits.T.copy()], names=["doc_id", "place", "text_key", "n", "sig", "prefix", *BITS])
 
-    return docs.mapInArrow(run, "doc_id long, n long, sig long, prefix array<long>, " + ", ".join(f"{b} long" for b in BITS))
+    return docs.mapInArrow(run, "doc_id long, place long, text_key long, n long, sig long, prefix array<long>, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def may_link(x: str, y: str, num: int, den: int) -> Column:
@@ -133,17 +133,28 @@ def may_link(x: str, y: str, num: int, den: int) -> Column:
     return sized_alike(F.col(f"{x}.n"), F.col(f"{y}.n"), num, den) & (apart * F.lit(num + den) <= F.lit(den - num) * total)
 
 
-def chosen(docs: DataFrame, ids: DataFrame, most: int = 1 << 20) -> DataFrame:
-    """docs whose doc_id is in ids; ids are broadcast only if there are no more than ``most``."""
+def chosen(docs: DataFrame, ids: DataFrame, most: int = 1 << 20, by: str = "doc_id") -> DataFrame:
+    """docs whose doc_id (or other column) is in ids; ids are broadcast only if there are no more than ``most``."""
     few = ids.limit(most + 1).count() <= most
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return docs.join(F.broadcast(ids) if few else ids, by, "left_semi")
+
+
+def placed(documents: DataFrame) -> DataFrame:
+    """doc_id, place (where a text is found again), text_key, text: all rows with an id, and each text of those without once.
+
+    place is the id, or the hash of a text without one.
+    """
+    place = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("place"), "text"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), place.alias("place"), F.xxhash64("text").alias("text_key"), "text")
+    nameless = docs.where("doc_id is null").dropDuplicates(["place"])
+    return docs.where("doc_id is not null").unionByName(written(nameless, "nameless"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, entities: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b: signatures) whose sets are similar; only texts that a pair needs leave their place."""
     needed = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select(F.col("b").alias("sig"))).distinct()
-    ids = written(entities.select("sig", "doc_id").join(needed, "sig").select("doc_id").distinct(), "needed")
-    texts = chosen(docs, ids)
+    ids = written(entities.select("sig", "place").join(needed, "sig").select("place").distinct(), "needed")
+    texts = chosen(docs, ids, by="place")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,21 +260,24 @@ def similar_documents(documents: DataFrame, words: int = 5, num: int = 80, den:
     A document's set is its distinct ``words``-word shingles (words: runs of anything but white space, A-Z folded), or
     its whole sequence if it has fewer words. Null and empty texts have empty sets and link with nothing. Equal texts
     are always linked. component_id is the smallest doc_id of the class; rows of null doc_id get their class's, or null.
-    Repeated rows come back as often as they came. An empty table gives no rows. Signatures of sets have 64 bits.
+    Repeated rows come back as often as they came; rows that share a doc_id and not their texts are documents of their
+    own. An empty table gives no rows. Very long texts are sets like any other; columns other than doc_id and text play
+    no part. Two more columns: class_id (the same for the rows of a class; null for empty sets) and text_key, Spark's
+    xxhash64 of the text. Signatures of sets have 64 bits.
     """
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = placed(documents)
     frequent = frequent_tokens(docs, words, 3 * (1 - num / den))
     listed = written(prefixes(docs, frequent, words, num, den), "prefixes")
-    rows = listed.select("doc_id", "n", "sig")
+    rows = listed.select("doc_id", "place", "text_key", "n", "sig")
     # Equal sets: one entity. Equal sizes and prefixes: one group, known by its smallest entity.
-    real = listed.where("n > 0").select("doc_id", "n", "sig", F.xxhash64("n", "prefix").alias("key"), *BITS)
-    entities = written(real.groupBy("sig", "n", "key", *BITS).agg(F.min("doc_id").alias("doc_id")), "entities")
-    groups = entities.groupBy("key").agg(F.min("sig").alias("group"), F.min_by("doc_id", "sig").alias("leader"))
-    members = written(entities.join(groups, "key").select("sig", "n", "doc_id", "group", "leader", *BITS), "members")
+    real = listed.where("n > 0").select("doc_id", "place", "n", "sig", F.xxhash64("n", "prefix").alias("key"), *BITS)
+    entities = written(real.groupBy("sig", "n", "key", *BITS).agg(F.min("doc_id").alias("doc_id"), F.min("place").alias("place")), "entities")
+    groups = entities.groupBy("key").agg(F.min("sig").alias("group"))
+    members = written(entities.join(groups, "key").select("sig", "n", "doc_id", "place", "group", *BITS), "members")
 
     token = Window.partitionBy("token").orderBy("n", "group")
-    leaders = members.where("sig = group").select(F.col("leader").alias("doc_id"), "sig")
-    tokens = listed.join(leaders, ["doc_id", "sig"]).select(F.explode("prefix").alias("token"), F.col("sig").alias("group"), F.col("n").cast("int").alias("n"))
+    leaders = members.where("sig = group").select("place", "sig")
+    tokens = listed.join(leaders, ["place", "sig"]).select(F.explode("prefix").alias("token"), F.col("sig").alias("group"), F.col("n").cast("int").alias("n"))
     met = tokens.select("token", "group", "n", F.lag("group").over(token).alias("before"), F.lag("n").over(token).alias("before_n"), F.lead("group").over(token).alias("after"))
     met = written(met.where("before is not null or after is not null").drop("after"), "tokens")
 
@@ -296,5 +310,8 @@ def similar_documents(documents: DataFrame, words: int = 5, num: int = 80, den:
     final = merged(known, late)
 
     smallest = final.groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    of_entity = final.select("sig", "class").join(smallest, "class").select("sig", "component_id")
-    return rows.join(of_entity, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    of_entity = final.select("sig", "class").join(smallest, "class")
+    found = rows.join(of_entity, "sig", "left")
+    out = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.col("class").alias("class_id"), "text_key"]
+    nameless = documents.where("doc_id is null").select(F.xxhash64(F.lit("place"), "text").alias("place"))
+    return found.where("doc_id is not null").select(*out).unionAll(nameless.join(found.where("doc_id is null"), "place").select(*out))

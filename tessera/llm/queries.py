@@ -20,7 +20,7 @@ def op1_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_documents(_table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+    return jaccard.similar_documents(_table(spark, sf_dir, "documents"), words=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,9 +188,13 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     """documents with the repeats of passages cut from their texts, n_chars (if there) made to fit.
 
     What is cut goes from the first byte of a span to the first byte of the word after it. Documents of which no word
-    is left go, unless they had none before; all other documents stay, and those without repeats are unchanged.
+    is left go, unless they had none before; all other documents stay, and those without repeats are unchanged. Spans
+    name a text by its doc_id alone, so rows whose doc_id another text also has stay whole. Null ids and texts stay.
     """
     spans = written(repeated_passages(documents), "spans")
+    several = chosen(documents.select("doc_id", F.xxhash64("text").alias("_key")), spans.select("doc_id").distinct())
+    several = several.groupBy("doc_id").agg(F.min("_key").alias("a"), F.max("_key").alias("b")).where("a != b").select("doc_id")
+    spans = spans.join(several, "doc_id", "left_anti")
     cuts = spans.groupBy(F.col("doc_id").alias("_doc")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_cuts"))
     names, kinds = documents.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
 

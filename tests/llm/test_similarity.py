@@ -186,6 +186,27 @@ def test_jaccard_links_within_a_group(spark):
     assert got == want
 
 
+def test_jaccard_of_rows_without_ids_and_with_one_id(spark):
+    rng = random.Random(9)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = [(None, None), (7, ""), (None, " ".join(some(40)))]
+    for missing in range(6):  # whichever of a group's members leads it
+        base = some(80)
+        for k in range(6):
+            text = " ".join([*base[: 79 - k], f"other{k}", *base[80 - k :]])
+            rows += [(None, text), (None, text)] if k == missing else [(100 * missing + 10 + k, text)]
+        rows.append((100 * missing + 10 + (missing + 1) % 6, " ".join(some(40))))  # an id that two texts have
+    out = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()
+    brute = brute_jaccard(list(enumerate(t for _, t in rows)), 5, 80, 100)
+    classes = {}
+    for i, (doc, _) in enumerate(rows):
+        classes.setdefault(brute[i][1], []).append(doc)
+    least = lambda ids: min((x for x in ids if x is not None), default=None)
+    want = [(doc, brute[i][0], least(classes[brute[i][1]])) for i, (doc, _) in enumerate(rows)]
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in out)
+    assert len({r["class_id"] for r in out}) == 1 + len({c for n, c in brute.values() if n})
+
+
 def test_jaccard_empty_and_repeated(spark):
     assert jaccard.similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "")], "doc_id long, text string")
