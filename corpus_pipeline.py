@@ -18,33 +18,53 @@ TOXIC = 0.7
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below TOXIC; trained on the labels of the documents that are there."""
+    """Documents whose toxicity is below TOXIC; trained on the labels of the documents that are there.
+
+    Null and empty texts have the score of a text without n-grams; repeated rows and rows of null doc_id are scored by
+    their texts like any other. Without labels nothing is toxic; an empty table stays empty.
+    """
     model = toxicity.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model, out="_toxicity").where(F.col("_toxicity") < TOXIC).select(*docs.columns)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the model knows, with enough confidence."""
+    """Documents in a language that the model knows, with enough confidence.
+
+    Null texts and texts without a letter have no language and go. Where no document carries a language nothing is
+    known, so all go. Repeated rows and null ids play no part in the decision; an empty table stays empty.
+    """
     return language.identify(docs, language.trained(docs)).where(~F.col("rejected")).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of documents that are alike in 0.8 of their five-word shingles, the one of the smallest doc_id.
 
-    Documents of null doc_id stay, and one row of those that repeat a doc_id and text.
+    Rows of one doc_id and different texts are documents of their own (of those in one class the least hash of the text
+    stays); of those that repeat a doc_id and text one stays. Documents of null doc_id stay, copies of one text as one,
+    and so do null and empty texts. An empty table stays empty.
     """
-    found = jaccard.similar_documents(docs, words=5, num=80, den=100)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    alike = jaccard.similar_documents(docs, words=5, num=80, den=100).where("doc_id is not null and class_id is not null")
+    found = written(alike.select("doc_id", "text_key", "class_id"), "alike")
+    row = F.struct("doc_id", "text_key")
+    first = found.groupBy("class_id").agg(F.min(row).alias("first"))
+    gone = found.join(first, "class_id").where(row != F.col("first")).select("doc_id", F.col("text_key").alias("_text_key")).distinct()
+    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
+    return keyed.join(gone, ["doc_id", "_text_key"], "left_anti").dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of 50 words or more that stand earlier in the corpus."""
+    """Documents without the passages of 50 words or more that stand earlier in the corpus.
+
+    Null and empty texts, rows of null doc_id and rows whose doc_id another text also has stay as they are.
+    """
     return suffixes.without_repeats(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset in sequences of 2048 tokens."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset in sequences of 2048 tokens.
+
+    Null and empty texts are the end id alone; null ids and repeated rows are packed like any other.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
