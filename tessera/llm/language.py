@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import chunks, crc_mod, flat_bytes
 from tessera.llm.grams import LOWER, byte_grams
-from tessera.llm.learning import in_fold, labelled_sample
+from tessera.llm.learning import fitted, in_fold, labelled_sample
 
 ORDERS = (2, 3, 4)
 BUCKETS = 1 << 16
@@ -127,7 +127,7 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in chunks(batch, text, 1 << 20):
+            for part in chunks(batch, text, 1 << 18):
                 known = np.array([bool(model.languages and x and LETTER.search(x)) for x in part.column(text).to_pylist()], bool)
                 p = model.probabilities(*flat_bytes(part.column(text))) if model.languages else np.zeros((part.num_rows, 1))
                 best, top = p.argmax(axis=1), p.max(axis=1)
@@ -141,7 +141,7 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
 def trained(documents: DataFrame, most: int = 1500) -> LanguageModel:
     """The model of lang, from about ``most`` rows of each language outside the held-out fold."""
     known = documents.where(~in_fold(crc_mod("doc_id", 4), 2))
-    return fit(labelled_sample(known, "lang", most))
+    return fitted(labelled_sample(known, "lang", most), fit)
 
 
 def languages(documents: DataFrame) -> DataFrame:

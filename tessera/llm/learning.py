@@ -1,13 +1,20 @@
-"""Bounded labelled samples for the classifiers that are trained here."""
+"""Bounded labelled samples for the classifiers that are trained here, and their training in a task."""
 
 from __future__ import annotations
 
+import ctypes
+import pickle
+from collections.abc import Callable
+from typing import Any
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Values of a label that have a sample of full size each; more values share the rows of so many equally.
 CLASSES = 64
+#: Bytes of text of a sample.
+MOST_BYTES = 24 << 20
 #: Parts of the hash range by which rows are chosen.
 PARTS = 1 << 30
 
@@ -26,17 +33,23 @@ def thinned(rows: DataFrame, label: str, most: int) -> DataFrame:
     return known.join(F.broadcast(limits), label).where(part < F.col("_limit")).select(*rows.columns)
 
 
-def gathered(rows: DataFrame, label: str, most: int, most_bytes: int) -> pa.Table:
-    """rows (doc_id, text, label) at the driver: text and label, in an order that depends on the rows alone.
+def slimmed(rows: DataFrame, label: str, most: int, most_bytes: int) -> DataFrame:
+    """doc_id, text, label of rows (doc_id, text, label): a sample that one task may hold, but for ``within``.
 
-    The bound of the classifiers' samples, and all that the driver sees of the corpus: about ``most`` rows for each label
-    value (never over 2 * CLASSES * most), and ``most_bytes`` of text over all values in equal shares. A value none of
-    whose texts fits into its share has the beginning of one, and a very long text is there with its beginning.
+    About ``most`` rows for each label value (never over 2 * CLASSES * most); of a very long text, its beginning.
     """
     size = F.octet_length("text")
     text = F.when(size <= most_bytes // 32, F.col("text")).otherwise(F.substring("text", 1, most_bytes // 128))
     slim = rows.where(F.col("text").isNotNull()).select("doc_id", text.alias("text"), F.col(label).alias("label"))
-    table = slim.limit(2 * CLASSES * most).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    return slim.limit(2 * CLASSES * most)
+
+
+def within(table: pa.Table, most_bytes: int) -> pa.Table:
+    """text and label of a sample, in an order that depends on the rows alone: at most ``most_bytes`` of text.
+
+    All values have equal shares; one none of whose texts fits into its share has the beginning of one.
+    """
+    table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     values = table.column("label").to_pylist()
     share, used, keep, cut = most_bytes // max(1, len(set(values))), {}, [], {}
     for i, (value, n) in enumerate(zip(values, (len(x.as_py()) for x in table.column("text").cast(pa.binary())), strict=True)):
@@ -55,19 +68,45 @@ def gathered(rows: DataFrame, label: str, most: int, most_bytes: int) -> pa.Tabl
     return found.set_column(found.schema.get_field_index("text"), "text", pa.chunked_array([pa.array(texts, found.schema.field("text").type)]))
 
 
-def labelled_sample(documents: DataFrame, label: str, most: int, most_bytes: int = 24 << 20) -> pa.Table:
+def labelled_sample(documents: DataFrame, label: str, most: int, most_bytes: int = MOST_BYTES) -> DataFrame:
     """The sample of documents that carry the label themselves."""
-    return gathered(thinned(documents.select("doc_id", "text", label), label, most), label, most, most_bytes)
+    return slimmed(thinned(documents.select("doc_id", "text", label), label, most), label, most, most_bytes)
 
 
-def joined_sample(documents: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int = 24 << 20) -> pa.Table:
+def joined_sample(documents: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int = MOST_BYTES) -> DataFrame:
     """The sample of documents whose label is in another table; repeated labels of an id count once, by the largest.
 
     The ids are chosen first, so only about ``most`` of each value are broadcast and no text is shuffled.
     """
     one = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
     ids = thinned(one, label, most)
-    return gathered(documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), label, most, most_bytes)
+    return slimmed(documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), label, most, most_bytes)
+
+
+def give_back() -> None:
+    """Returns freed memory to the machine, where the C library can: training frees far more than a task needs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        pass
+
+
+def fitted(sample: DataFrame, fit: Callable[[pa.Table], Any], most_bytes: int = MOST_BYTES) -> Any:
+    """fit(table of text and label) of the sample, run in one task; the driver sees the model and no text.
+
+    A lost executor costs the task, which gives the same model again. A sample without rows is fitted as such.
+    """
+
+    def train(table: pa.Table) -> pa.Table:
+        model = pickle.dumps(fit(within(table, most_bytes)))
+        give_back()
+        return pa.table({"model": pa.array([model], pa.binary())})
+
+    rows = sample.groupBy().applyInArrow(train, "model binary").collect()
+    if rows:
+        return pickle.loads(rows[0]["model"])
+    return fit(pa.table({"text": pa.array([], pa.string()), "label": pa.array([], pa.string())}))
 
 
 def in_fold(column: Column, fold: int) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import chunks, crc_mod, flat_bytes
 from tessera.llm.grams import byte_grams
-from tessera.llm.learning import in_fold, joined_sample
+from tessera.llm.learning import fitted, in_fold, joined_sample
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 11
@@ -115,7 +115,7 @@ def score(df: DataFrame, model: NeighbourModel, text: str = "text", out: str = "
 
 def trained(documents: DataFrame, labels: DataFrame, most: int = 2000) -> NeighbourModel:
     """The model of labels.quality, from about ``most`` rows of each label outside the held-out fold."""
-    return fit(joined_sample(documents, labels.where(~in_fold(crc_mod("doc_id", 5), 0)), "quality", most))
+    return fitted(joined_sample(documents, labels.where(~in_fold(crc_mod("doc_id", 5), 0)), "quality", most), fit)
 
 
 def quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

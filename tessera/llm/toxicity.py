@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import chunks, crc_mod, flat_bytes
 from tessera.llm.grams import LOWER, byte_grams
-from tessera.llm.learning import in_fold, joined_sample
+from tessera.llm.learning import fitted, in_fold, joined_sample
 
 ORDERS = (4, 5, 6)
 BUCKETS = 1 << 20
@@ -105,7 +105,7 @@ def score(df: DataFrame, model: NaiveBayesLinear, text: str = "text", out: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, text, 1 << 20):
+            for part in chunks(batch, text, 1 << 18):
                 found = shared.value.score(*flat_bytes(part.column(text)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=[*part.schema.names, out])
 
@@ -114,7 +114,7 @@ def score(df: DataFrame, model: NaiveBayesLinear, text: str = "text", out: str =
 
 def trained(documents: DataFrame, labels: DataFrame, most: int = 2500) -> NaiveBayesLinear:
     """The model of labels.toxic, from about ``most`` rows of each class outside the held-out fold."""
-    return fit(joined_sample(documents, labels.where(~in_fold(crc_mod("doc_id", 3), 1)), "toxic", most))
+    return fitted(joined_sample(documents, labels.where(~in_fold(crc_mod("doc_id", 3), 1)), "toxic", most), fit)
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -119,5 +119,5 @@ def test_no_language_is_left_out_of_training(spark):
     assert model.languages == tuple(f"l{k:02}" for k in range(70)) and model.layer is not None
     out = language.identify(df, model).select("lang", "lang_pred").collect()
     assert len({r["lang"] for r in out if r["lang"] == r["lang_pred"]}) > 64  # nine rows of each are few to learn from
-    small = learning.labelled_sample(df, "lang", 1500, most_bytes=14_000)  # a share is less than a text
+    small = learning.within(learning.labelled_sample(df, "lang", 1500, most_bytes=14_000).toArrow(), 14_000)  # a share is less than a text
     assert set(small.column("label").to_pylist()) == set(model.languages) and all(len(t) <= 200 for t in small.column("text").to_pylist())
