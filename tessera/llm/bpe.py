@@ -17,7 +17,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import chunks, list_column
+from tessera.llm.common import chunks, in_batches, list_column
 
 #: Texts of more characters than this are cut at safe boundaries before they are encoded.
 LONG = 1 << 16
@@ -73,4 +73,4 @@ def encode_decode(df: DataFrame, rank_file: str, text: str = "text", ids: str =
                 back = [coder.decode_bytes(x) for x in found]
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in kept] + [list_column(flat, at, pa.int32()), pa.array(back, pa.binary())], names=[f.name for f in kept] + [ids, decoded])
 
-    return plain.mapInArrow(run, schema)
+    return in_batches(plain, run, schema)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into numpy arrays at once.
 CHUNK_BYTES = 4 << 20
+#: The setting for bytes of an Arrow batch between Spark and Python, and its value where the session has none: batches
+#: of 10000 rows, Spark's own bound, hold any number of bytes.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -41,6 +45,31 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Returns freed memory to the machine, where the C library can: a reused Python worker would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        pass
+
+
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) in bounded memory: batches of BATCH_BYTES, and freed memory given back after a task.
+
+    A longer row is a batch of its own, whole. Where the session sets the size of batches, that size holds.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_SETTING, None) is None:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(bounded, schema)
+
+
 def crc_mod(column: str, divisor: int) -> Column:
     """crc32 of the id as text, modulo divisor; null ids give -1, which no fold has."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % F.lit(divisor), F.lit(-1)).cast("int")
@@ -73,10 +102,6 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         start = stop
 
 
-def binary_column(parts: list[bytes]) -> pa.Array:
-    return pa.array(parts, pa.binary())
-
-
 def list_column(flat: np.ndarray, at: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list array from a flat run and its n + 1 starts."""
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat, kind))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import in_batches, written
 from tessera.llm.components import components
 
 #: Rows of a tile whose products are held at once.
@@ -128,7 +128,7 @@ def coded(df: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed, pa.binary()), pa.array(factor)], names=[*batch.schema.names, "code", "factor"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.mapInArrow(run, f"{kinds}, code binary, factor double")
+    return in_batches(df, run, f"{kinds}, code binary, factor double")
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, block: int = 4096, eps: float | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, list_column, written
+from tessera.llm.common import discard, in_batches, list_column, written
 from tessera.llm.components import components
 from tessera.llm.shingles import shingle_sets, signature
 
@@ -81,7 +81,7 @@ def frequent_tokens(texts: DataFrame, words: int, share: float, least: int = 8,
         some = times >= least
         return pa.table({"token": token[some].astype(np.int64), "n": times[some]})
 
-    counted = texts.mapInArrow(count, "part int, once binary, many binary, n binary").groupBy("part").applyInArrow(total, "token long, n long")
+    counted = in_batches(texts, count, "part int, once binary, many binary, n binary").groupBy("part").applyInArrow(total, "token long, n long")
     found = counted.orderBy(F.desc("n"), "token").limit(most).select("token").toArrow().column("token").to_numpy()
     return np.sort(found.astype(np.uint64))
 
@@ -122,7 +122,7 @@ def prefixes(docs: DataFrame, frequent: np.ndarray, words: int, num: int, den: i
                 columns = [part.column("doc_id"), part.column("place"), part.column("text_key"), pa.array(size, pa.int64()), pa.array(sig, pa.int64()), list_column(flat, at, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(b, pa.int64()) for b in bits.T.copy()], names=["doc_id", "place", "text_key", "n", "sig", "prefix", *BITS])
 
-    return docs.mapInArrow(run, "doc_id long, place long, text_key long, n long, sig long, prefix array<long>, " + ", ".join(f"{b} long" for b in BITS))
+    return in_batches(docs, run, "doc_id long, place long, text_key long, n long, sig long, prefix array<long>, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def may_link(x: str, y: str, num: int, den: int) -> Column:
@@ -172,10 +172,10 @@ def verified(pairs: DataFrame, docs: DataFrame, entities: DataFrame, words: int,
                 keep.append(common * den >= num * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = written(texts.mapInArrow(to_sets, "sig long, tokens binary"), "sets")
+    sets = written(in_batches(texts, to_sets, "sig long, tokens binary"), "sets")
     left = pairs.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x")), "a")
     both = left.join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y")), "b")
-    links = written(both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long"), "links")
+    links = written(in_batches(both.select("a", "b", "x", "y"), compare, "a long, b long"), "links")
     discard(ids, sets)
     return links
 

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, crc_mod, flat_bytes
+from tessera.llm.common import chunks, crc_mod, flat_bytes, in_batches
 from tessera.llm.grams import LOWER, byte_grams
 from tessera.llm.learning import fitted, in_fold, labelled_sample
 
@@ -135,7 +135,7 @@ def identify(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFra
                 score = np.where(known, top, 0.0)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score), pa.array(~known | (score < model.threshold))], names=[*part.schema.names, *new])
 
-    return df.select(*[f"`{f.name}`" for f in kept]).mapInArrow(run, schema)
+    return in_batches(df.select(*[f"`{f.name}`" for f in kept]), run, schema)
 
 
 def trained(documents: DataFrame, most: int = 1500) -> LanguageModel:

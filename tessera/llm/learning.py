@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import pickle
 from collections.abc import Callable
 from typing import Any
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import give_back
+
 #: Values of a label that have a sample of full size each; more values share the rows of so many equally.
 CLASSES = 64
 #: Bytes of text of a sample.
@@ -83,15 +84,6 @@ def joined_sample(documents: DataFrame, labels: DataFrame, label: str, most: int
     return slimmed(documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), label, most, most_bytes)
 
 
-def give_back() -> None:
-    """Returns freed memory to the machine, where the C library can: training frees far more than a task needs."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except AttributeError:
-        pass
-
-
 def fitted(sample: DataFrame, fit: Callable[[pa.Table], Any], most_bytes: int = MOST_BYTES) -> Any:
     """fit(table of text and label) of the sample, run in one task; the driver sees the model and no text.
 

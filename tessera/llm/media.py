@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import jpeg
-from tessera.llm.common import chunks
+from tessera.llm.common import chunks, in_batches
 
 #: Bytes of payload that are coded together; a longer payload is coded alone, whole.
 BATCH = 1 << 20
@@ -63,7 +63,7 @@ def stored_as_jpeg(df: DataFrame, data: str, tensors: bool = True) -> DataFrame:
                     columns.append(pa.array(pictures, pa.binary()))
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *columns], names=[*[f.name for f in kept], *[name for name, _ in new]])
 
-    return plain.mapInArrow(run, schema)
+    return in_batches(plain, run, schema)
 
 
 def media_digests(documents: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm.bpe import encoding, ids_of
-from tessera.llm.common import chunks, ranked, written
+from tessera.llm.common import chunks, in_batches, ranked, written
 
 #: Characters about which versions of Unicode, and so the two libraries' patterns, could differ.
 RARE = regex.compile(r"[^\u0000-ӿ]")
@@ -83,7 +83,7 @@ def tokenized_pieces(documents: DataFrame, vocabulary: str, ranks: str | None, c
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return in_batches(documents.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def next_fit(counts: dict[int, int], capacity: int, size: int = TEMPLATE, seed: int = 20240517) -> list[Bins]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, crc_mod, flat_bytes
+from tessera.llm.common import chunks, crc_mod, flat_bytes, in_batches
 from tessera.llm.grams import byte_grams
 from tessera.llm.learning import fitted, in_fold, joined_sample
 
@@ -110,7 +110,7 @@ def score(df: DataFrame, model: NeighbourModel, text: str = "text", out: str = "
                 for part in chunks(batch.slice(rows, 256), text, 1 << 20):
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.score(*flat_bytes(part.column(text))), pa.float64())], names=[*part.schema.names, out])
 
-    return df.select(*[f"`{f.name}`" for f in kept]).mapInArrow(run, schema)
+    return in_batches(df.select(*[f"`{f.name}`" for f in kept]), run, schema)
 
 
 def trained(documents: DataFrame, labels: DataFrame, most: int = 2000) -> NeighbourModel:

@@ -63,7 +63,7 @@ def shingles(word: np.ndarray, first: np.ndarray, n: int) -> list[np.ndarray]:
     return out
 
 
-def shingle_sets(batch: pa.RecordBatch, n: int, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+def shingle_sets(batch: pa.RecordBatch, n: int, limit: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Slices of a batch with a text column, and the shingle sets of their rows."""
     for part in chunks(batch, "text", limit):
         word, first, _ = words(*flat_bytes(part.column("text")))

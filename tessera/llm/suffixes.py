@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, flat_bytes, written
+from tessera.llm.common import chunks, flat_bytes, in_batches, written
 from tessera.llm.grams import mixed
 from tessera.llm.jaccard import chosen
 from tessera.llm.shingles import STEP, words
@@ -83,7 +83,7 @@ def suffix_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text", 2 << 20):
+            for part in chunks(batch, "text", 1 << 19):
                 word, first, _ = words(*flat_bytes(part.column("text")), lower=False)
                 sums = running(word)
                 at, owner = kept_suffixes(sums, first)
@@ -94,7 +94,7 @@ def suffix_rows(docs: DataFrame) -> DataFrame:
                     names=["key", "around", "doc_id", "place", "left", "right"],
                 )
 
-    return docs.mapInArrow(run, "key long, around long, doc_id long, place int, left int, right int")
+    return in_batches(docs, run, "key long, around long, doc_id long, place int, left int, right int")
 
 
 def runs_through(texts: DataFrame) -> DataFrame:
@@ -134,10 +134,10 @@ def runs_through(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text", 1 << 20):
+            for part in chunks(batch, "text", 1 << 19):
                 yield found(part)
 
-    return texts.mapInArrow(run, "key long, around long, doc_id long, place int, lead int, run long")
+    return in_batches(texts, run, "key long, around long, doc_id long, place int, lead int, run long")
 
 
 def joined_spans(spans: DataFrame) -> DataFrame:
@@ -222,4 +222,4 @@ def without_repeats(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
     joined = documents.join(cuts, documents["doc_id"] == cuts["_doc"], "left").select(*[documents[n] for n in names], cuts["_cuts"])
-    return joined.mapInArrow(run, kinds)
+    return in_batches(joined, run, kinds)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, crc_mod, flat_bytes
+from tessera.llm.common import chunks, crc_mod, flat_bytes, in_batches
 from tessera.llm.grams import LOWER, byte_grams
 from tessera.llm.learning import fitted, in_fold, joined_sample
 
@@ -109,7 +109,7 @@ def score(df: DataFrame, model: NaiveBayesLinear, text: str = "text", out: str =
                 found = shared.value.score(*flat_bytes(part.column(text)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=[*part.schema.names, out])
 
-    return df.select(*[f"`{f.name}`" for f in kept]).mapInArrow(run, schema)
+    return in_batches(df.select(*[f"`{f.name}`" for f in kept]), run, schema)
 
 
 def trained(documents: DataFrame, labels: DataFrame, most: int = 2500) -> NaiveBayesLinear:
