@@ -37,3 +37,16 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high:
     placed = points.where(F.col(point).isNotNull()).withColumn("_bucket", bucket(point))
     inside = (F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))
     return placed.join(spread, "_bucket").where(inside if extra is None else inside & extra).drop("_bucket")
+
+
+def not_in(left: DataFrame, key: str, right: DataFrame, other: str) -> DataFrame:
+    """Rows of left whose key is NOT IN the other column of right, with SQL's rules for nulls.
+
+    A null in right leaves no row; against an empty right all rows stay, those of null key included, and otherwise
+    those go. Two counts of right decide it, so the join is an anti join by equality that shuffles like any other and
+    broadcasts one row besides.
+    """
+    counts = right.agg(F.count(F.lit(1)).alias("_rows"), F.count(other).alias("_known"))
+    absent = left.join(right.select(F.col(other).alias("_other")), F.col(key) == F.col("_other"), "left_anti")
+    allowed = (F.col("_rows") == 0) | ((F.col("_rows") == F.col("_known")) & F.col(key).isNotNull())
+    return absent.join(F.broadcast(counts)).where(allowed).select(*left.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import asof_join, range_join
+from tessera.operators import asof_join, not_in, range_join
 from tessera.plans.registry import register
 
 
@@ -23,9 +23,10 @@ def join_right(t):
     return t("orders").where("o_totalprice > 400000").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"), "right").select("o_orderkey", "c_custkey")
 
 
-@register("join_full", "select d.event_id as a, l.o_orderkey as q from (select * from events where event_id < 500) d full join (select * from orders where o_orderkey between 250 and 900) l on d.event_id = l.o_orderkey")
+@register("join_full", "select d.doc_id as a, l.doc_id as q from documents d full join labels l on d.doc_id = l.doc_id")
 def join_full(t):
-    return t("events").where("event_id < 500").join(t("orders").where("o_orderkey between 250 and 900"), F.col("event_id") == F.col("o_orderkey"), "full").select(F.col("event_id").alias("a"), F.col("o_orderkey").alias("q"))
+    labels = t("labels").select(F.col("doc_id").alias("q"))
+    return t("documents").select(F.col("doc_id").alias("a")).join(labels, F.col("a") == F.col("q"), "full")
 
 
 @register("join_semi", "select o_orderkey from orders semi join lineitem on o_orderkey = l_orderkey")
@@ -75,9 +76,7 @@ def subq_exists(t):
 
 @register("subq_not_in", "select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem)")
 def subq_not_in(t):
-    t("orders").createOrReplaceTempView("_orders")
-    t("lineitem").createOrReplaceTempView("_lineitem")
-    return t("orders").sparkSession.sql("select o_orderkey from _orders where o_orderkey not in (select l_orderkey from _lineitem)")
+    return not_in(t("orders"), "o_orderkey", t("lineitem"), "l_orderkey").select("o_orderkey")
 
 
 @register("subq_scalar_corr", "select p_partkey from part p where p_retailprice > (select avg(p_retailprice) from part q where q.p_brand = p.p_brand)")

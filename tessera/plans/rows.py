@@ -82,6 +82,6 @@ def except_all(t):
     return t("customer").select(F.col("c_nationkey").alias("k")).exceptAll(t("supplier").select("s_nationkey"))
 
 
-@register("unpivot", "select * from (select l_orderkey, l_linenumber, l_quantity, l_tax from lineitem where l_orderkey < 50) unpivot (v for k in (l_quantity, l_tax))")
+@register("unpivot", "select * from (select l_orderkey, l_linenumber, l_quantity, l_tax from lineitem) unpivot (v for k in (l_quantity, l_tax))")
 def unpivot(t):
-    return t("lineitem").where("l_orderkey < 50").unpivot(["l_orderkey", "l_linenumber"], ["l_quantity", "l_tax"], "k", "v")
+    return t("lineitem").unpivot(["l_orderkey", "l_linenumber"], ["l_quantity", "l_tax"], "k", "v")

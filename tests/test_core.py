@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import plans
 from tessera.functions import cosine
-from tessera.operators import asof_join, range_join, top_per_group
+from tessera.operators import asof_join, not_in, range_join, top_per_group
 from tessera.sources import TABLES
 
 DATA = "/root/testdata/sf0.001"
@@ -72,6 +72,20 @@ def test_range_join_has_no_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("others, left", [([2], [1, 3]), ([2, 2, 9], [1, 3]), ([2, None], []), ([None], []), ([], [1, 2, 3, None])])
+def test_not_in_follows_the_rules_for_nulls(spark, others, left):
+    rows = spark.createDataFrame([(1,), (2,), (3,), (None,)], "k int")
+    found = not_in(rows, "k", spark.createDataFrame([(x,) for x in others], "o int"), "o")
+    assert sorted((r["k"] for r in found.collect()), key=lambda k: (k is None, k)) == left
+
+
+def test_not_in_broadcasts_its_counts_only(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = plans.queries()["subq_not_in"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and plan.count("BroadcastExchange") == 1
+
+
 def test_top_per_group(spark):
     df = spark.createDataFrame([("a", 3), ("a", 1), ("a", 2), ("b", 9)], "g string, v int")
     assert sorted((r["g"], r["v"]) for r in top_per_group(df, ["g"], [F.desc("v")], 2).collect()) == [("a", 2), ("a", 3), ("b", 9)]
