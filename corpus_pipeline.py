@@ -43,7 +43,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     stays); of those that repeat a doc_id and text one stays. Documents of null doc_id stay, copies of one text as one,
     and so do null and empty texts. An empty table stays empty.
     """
-    alike = jaccard.similar_documents(docs, words=5, num=80, den=100).where("doc_id is not null and class_id is not null")
+    alike = jaccard.similar_classes(docs, words=5, num=80, den=100).where("doc_id is not null and class_id is not null")
     found = written(alike.select("doc_id", "text_key", "class_id"), "alike")
     row = F.struct("doc_id", "text_key")
     first = found.groupBy("class_id").agg(F.min(row).alias("first"))

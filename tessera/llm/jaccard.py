@@ -255,15 +255,20 @@ def central(met: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def similar_documents(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row: classes of documents linked by similarity >= num / den.
+    """doc_id, n_shingles, component_id of similar_classes."""
+    return similar_classes(documents, words, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def similar_classes(documents: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id, text_key for every row: classes of documents linked by similarity >= num / den.
 
     A document's set is its distinct ``words``-word shingles (words: runs of anything but white space, A-Z folded), or
     its whole sequence if it has fewer words. Null and empty texts have empty sets and link with nothing. Equal texts
     are always linked. component_id is the smallest doc_id of the class; rows of null doc_id get their class's, or null.
     Repeated rows come back as often as they came; rows that share a doc_id and not their texts are documents of their
     own. An empty table gives no rows. Very long texts are sets like any other; columns other than doc_id and text play
-    no part. Two more columns: class_id (the same for the rows of a class; null for empty sets) and text_key, Spark's
-    xxhash64 of the text. Signatures of sets have 64 bits.
+    no part. class_id is the same for the rows of a class and null for empty sets, text_key is Spark's xxhash64 of the
+    text. Signatures of sets have 64 bits.
     """
     docs = placed(documents)
     frequent = frequent_tokens(docs, words, 3 * (1 - num / den))

@@ -196,7 +196,7 @@ def test_jaccard_of_rows_without_ids_and_with_one_id(spark):
             text = " ".join([*base[: 79 - k], f"other{k}", *base[80 - k :]])
             rows += [(None, text), (None, text)] if k == missing else [(100 * missing + 10 + k, text)]
         rows.append((100 * missing + 10 + (missing + 1) % 6, " ".join(some(40))))  # an id that two texts have
-    out = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()
+    out = jaccard.similar_classes(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()
     brute = brute_jaccard(list(enumerate(t for _, t in rows)), 5, 80, 100)
     classes = {}
     for i, (doc, _) in enumerate(rows):
