@@ -24,6 +24,8 @@ LONG = 1 << 16
 #: A match begins at white space that follows anything else: no alternative of the pattern spans that place,
 #: as only runs of white space, or one leading space, hold white space.
 SAFE = regex.compile(r"(?<=\S)(?=\s)")
+#: Runs of white space that are matched here and not by the library, which gives up on runs of a million characters.
+RUN = regex.compile(r"\s{16384,}+")
 
 
 @lru_cache(maxsize=4)
@@ -46,10 +48,32 @@ def safe_pieces(text: str, limit: int = LONG) -> Iterator[str]:
     yield text[start:] if start else text
 
 
+def without_runs(text: str) -> Iterator[tuple[str, bool]]:
+    """text in order, in pieces that begin where a match begins, and whether a piece is a single match.
+
+    A long run of white space is one: all of it at the end of the text, before other text all but its last character.
+    """
+    start = 0
+    for run in RUN.finditer(text):
+        stop = run.end() - (run.end() < len(text))
+        if run.start() > start:
+            yield text[start : run.start()], False
+        yield text[run.start() : stop], True
+        start = stop
+    if start < len(text):
+        yield text[start:], False
+
+
 def ids_of(coder: tiktoken.Encoding, text: str) -> np.ndarray:
     if len(text) <= LONG:
         return coder.encode_to_numpy(text, disallowed_special=())
-    return np.concatenate([coder.encode_to_numpy(piece, disallowed_special=()) for piece in safe_pieces(text)])
+    found = []
+    for part, one_match in without_runs(text):
+        if one_match:
+            found.append(np.array(coder._encode_single_piece(part), np.uint32))
+        else:
+            found += [coder.encode_to_numpy(piece, disallowed_special=()) for piece in safe_pieces(part)]
+    return np.concatenate(found)
 
 
 def encode_decode(df: DataFrame, rank_file: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
