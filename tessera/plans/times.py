@@ -26,8 +26,3 @@ def time_sliding(t):
 )
 def time_session(t):
     return sessions(t("events"), ["user_id"], "ts", "6 hours")
-
-
-@register("cte_recursive", "with recursive t(n) as (select 1 union all select n + 1 from t where n < 50) select n from t")
-def cte_recursive(t):
-    return t("region").sparkSession.sql("with recursive t(n) as (select 1 union all select n + 1 from t where n < 50) select n from t")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 
 import duckdb
 import pytest
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera import plans
 from tessera.functions import cosine
-from tessera.operators import asof_join, not_in, range_join, top_per_group
-from tessera.sources import TABLES
+from tessera.operators import asof_join, closure, not_in, range_join, top_per_group
+from tessera.sources import TABLES, written_table
 
 DATA = "/root/testdata/sf0.001"
 
@@ -99,3 +100,73 @@ def test_cosine_of_no_length_is_null(spark):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = plans.queries()["filter_cmp"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull" in plan and "o_orderdate" not in plan
+
+
+def plain_asof(left, right):
+    out = {}
+    for i, k, t in left:
+        before = [(u, v) for key, u, v in right if key == k and None not in (k, t, u) and u <= t]
+        out[i] = max(before)[1] if before else None
+    return out
+
+
+@pytest.mark.parametrize("hot_rows", [0, 40, 1 << 20])
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "int"])
+def test_asof_join_of_split_keys_equals_a_plain_loop(spark, monkeypatch, hot_rows, kind):
+    monkeypatch.setattr("tessera.operators.joins.RANGES", 16)
+    rng = random.Random(7)
+    when = (lambda: rng.randrange(50)) if kind == "int" else (lambda: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.choice([rng.randrange(400), 77])))
+    key = lambda: rng.choice(["hot"] * 6 + ["a", "b", None])
+    left = [(i, key(), None if i % 17 == 0 else when()) for i in range(300)]
+    right = [(key(), None if i % 19 == 0 else when(), i) for i in range(120)]
+    right = [r for r in right if r[0] != "hot" or r[1] is None or rng.random() < 0.5]  # ranges without a right row
+    got = asof_join(spark.createDataFrame(left, f"id long, k string, t {kind}"), spark.createDataFrame(right, f"k string, t {kind}, v int"), ["k"], "t", {"x": "v"}, hot_rows=hot_rows)
+    assert got.columns == ["id", "k", "t", "x"] and {r["id"]: r["x"] for r in got.collect()} == plain_asof(left, right)
+
+
+def test_asof_join_deals_one_key_to_many_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        times = spark.range(40_000).select(F.lit("only").alias("k"), F.col("id").alias("t"), (F.col("id") * 3).alias("v"))
+        out = asof_join(times.drop("v"), times.where("t % 5 = 0"), ["k"], "t", {"x": "v"}, hot_rows=1000)
+        assert out.where("x != (t - t % 5) * 3 or x is null").count() == 0
+        sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 4 and max(sizes) < 1.3 * 40_000 / 4
+
+
+def walks(links):
+    """(src, dst): hops by breadth-first search."""
+    out, next_of = {}, {}
+    for a, b in links:
+        next_of.setdefault(a, set()).add(b)
+    for start in next_of:
+        edge, hops, seen = {start}, 0, {}
+        while edge:
+            hops += 1
+            edge = {b for a in edge for b in next_of.get(a, ())} - set(seen)
+            seen |= dict.fromkeys(edge, hops)
+        out |= {(start, b): h for b, h in seen.items()}
+    return out
+
+
+@pytest.mark.parametrize("links", [[(i, i + 1) for i in range(37)], [(i, (i + 1) % 12) for i in range(12)], [(1, 2), (1, 2), (2, 3), (1, 3), (3, 3), (9, 1)], []])
+def test_closure_equals_breadth_first_search(spark, links):
+    table = spark.createDataFrame([*links, (None, 1), (1, None)], "src long, dst long")
+    assert {(r["src"], r["dst"]): r["hops"] for r in closure(table).collect()} == walks(links)
+
+
+def test_closure_of_random_links(spark):
+    rng = random.Random(3)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(75)]
+    assert {(r["src"], r["dst"]): r["hops"] for r in closure(spark.createDataFrame(links, "src long, dst long")).collect()} == walks(links)
+
+
+def test_closure_gives_no_part_of_an_answer(spark):
+    with pytest.raises(ValueError):
+        closure(spark.createDataFrame([(i, i + 1) for i in range(30)], "src long, dst long"), rounds=3)
+
+
+def test_shared_folder_is_the_named_one(spark):
+    assert written_table(spark.range(3), "three").inputFiles()[0].removeprefix("file:").removeprefix("//").startswith(spark.conf.get("spark.checkpoint.dir"))
