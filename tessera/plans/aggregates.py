@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import exact_quantiles
 from tessera.plans.registry import register
 
 
@@ -55,7 +56,7 @@ def agg_stats(t):
 
 @register("agg_median", "select event_type, median(value) as m, quantile_cont(value, 0.9) as p from events group by 1")
 def agg_median(t):
-    return t("events").groupBy("event_type").agg(F.median("value").alias("m"), F.percentile("value", F.lit(0.9)).alias("p"))
+    return exact_quantiles(t("events"), ["event_type"], "value", {"m": 0.5, "p": 0.9})
 
 
 @register("agg_argmax", "select user_id, arg_max(event_id, ts) as e from events group by 1")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera import plans
 from tessera.functions import cosine
-from tessera.operators import asof_join, closure, not_in, range_join, top_per_group
+from tessera.operators import asof_join, closure, exact_quantiles, not_in, range_join, top_per_group
 from tessera.sources import TABLES, written_table
 
 DATA = "/root/testdata/sf0.001"
@@ -170,3 +170,47 @@ def test_closure_gives_no_part_of_an_answer(spark):
 
 def test_shared_folder_is_the_named_one(spark):
     assert written_table(spark.range(3), "three").inputFiles()[0].removeprefix("file:").removeprefix("//").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def plain_quantile(values, q):
+    v = sorted((x for x in values if x is not None), key=lambda x: (math.isnan(x), x))
+    if not v:
+        return None
+    place = (len(v) - 1) * q
+    a, b = v[math.floor(place)], v[math.ceil(place)]
+    return a if math.floor(place) == place else (math.ceil(place) - place) * a + (place - math.floor(place)) * b
+
+
+@pytest.mark.parametrize("sorted_rows", [1, 20, 1 << 16])
+def test_exact_quantiles_equal_a_sort(spark, sorted_rows):
+    rng, inf = random.Random(5), math.inf
+    groups = {
+        "even": [float(i) for i in range(300)],
+        "ties": [1.0] * 90 + [2.0] * 90 + [3.0],
+        "wide": [10.0 ** rng.uniform(-300, 300) * rng.choice([-1, 1]) for _ in range(200)],
+        "below": [-(10.0 ** rng.uniform(-20, 20)) for _ in range(101)],
+        "signs": [rng.gauss(0, 1e-3) for _ in range(120)] + [0.0] * 31 + [1e300, -1e300, None],
+        "odd": [inf] * 40 + [-inf] * 30 + [math.nan] * 35 + [rng.random() for _ in range(60)],
+        "steps": [rng.choice([0.1, 0.2, 0.30000000000000004, 0.3]) for _ in range(150)],
+        "none": [None, None],
+        "one": [4.5],
+        None: [float(i % 7) for i in range(64)],
+    }
+    rows = [(g, v) for g, values in groups.items() for v in values]
+    rng.shuffle(rows)
+    wanted = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 0.999, "f": 1.0}
+    got = exact_quantiles(spark.createDataFrame(rows, "g string, v double").repartition(3), ["g"], "v", wanted, sorted_rows=sorted_rows).collect()
+    assert {r["g"]: tuple(repr(r[k]) for k in wanted) for r in got} == {g: tuple(repr(plain_quantile(values, q)) for q in wanted.values()) for g, values in groups.items()}
+
+
+def test_exact_quantiles_sort_few_rows_of_a_group(spark):
+    table = spark.range(60_000).select(F.lit("one").alias("g"), (F.hash("id") % 1000003).cast("double").alias("v"))
+    out = exact_quantiles(table, ["g"], "v", {"m": 0.5, "p": 0.99}, sorted_rows=500)
+    v = sorted(r["v"] for r in table.collect())
+    assert out.first()[1:] == (plain_quantile(v, 0.5), plain_quantile(v, 0.99))
+    plan = plans.queries()["agg_median"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "median" not in plan
+
+
+def test_exact_quantiles_of_no_rows(spark):
+    assert exact_quantiles(spark.createDataFrame([], "g string, v double"), ["g"], "v", {"m": 0.5}).collect() == []
