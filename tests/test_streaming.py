@@ -1,9 +1,14 @@
 """Streams against the same rows in batch."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import streaming
+from tessera.plans.streams import late_arrivals
+from tessera.streaming import idle_users, late_window_totals, pairs_or_alone
+from tessera.streaming.replay import PROVIDER
 
 DATA = "/root/testdata/sf0.001"
 
@@ -49,3 +54,62 @@ def test_custom_state(spark, files):
     got = streaming.finished(streaming.running_totals(streaming.stream(spark, files)), "update", "totals")
     last = got.groupBy("user_id").agg(F.max("n").alias("n"))
     assert rows(last) == rows(spark.read.parquet(files).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")))
+
+
+def test_replay_drops_late_rows_and_counts_them(spark):
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    found = late_window_totals(late_arrivals(events), "arrival", "1 hour", "12 hours")
+    assert found.dropped > 0 and found.triggers >= 7
+    seen, all_ = found.rows.agg(F.sum("n")).first()[0], events.count()
+    assert all_ - seen >= found.dropped  # the rest are in windows that are still open
+
+
+def test_rows_in_order_are_never_late(spark):
+    events = spark.read.parquet(f"{DATA}/events.parquet").withColumn("arrival", F.dayofmonth("ts") % 32)
+    found = late_window_totals(events, "arrival", "1 day", "1 hour")
+    batch = {r["w"]: r["n"] for r in events.groupBy(F.window("ts", "1 day").alias("x")).count().select(F.col("x.start").alias("w"), F.col("count").alias("n")).collect()}
+    got = {r["w"]: r["n"] for r in found.rows.collect()}
+    assert found.dropped == 0 and got == {w: n for w, n in batch.items() if w in got} and len(got) == len(batch) - 1
+
+
+def test_replay_does_not_depend_on_the_session_zone(spark):
+    events = late_arrivals(spark.read.parquet(f"{DATA}/events.parquet").where("event_id < 300"))
+    there = {}
+    for zone in ("America/New_York", "UTC"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        there[zone] = sorted(map(tuple, late_window_totals(events, "arrival", "1 hour", "12 hours").rows.select(F.col("w").cast("string"), "n").collect()))
+    assert there["UTC"] == there["America/New_York"] and len(there["UTC"]) > 50
+
+
+def test_replay_of_no_rows(spark):
+    events = late_arrivals(spark.read.parquet(f"{DATA}/events.parquet").limit(0))
+    found = late_window_totals(events, "arrival", "1 hour", "12 hours")
+    assert found.rows.count() == 0 and found.dropped == 0 and found.triggers == 0
+
+
+def minutes(rows, arrivals):
+    return [(i, u, kind, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m), a) for i, ((u, kind, m), a) in enumerate(zip(rows, arrivals, strict=True))]
+
+
+def test_idle_users_are_closed_by_a_timer_or_by_their_next_row(spark):
+    rows = [(1, "a", 0), (1, "b", 5), (2, "a", 6), (1, "a", 40), (3, None, 41), (3, None, 41), (None, "a", 42), (2, "c", 300), (4, "a", 600)]
+    table = spark.createDataFrame(minutes(rows, [0, 0, 0, 1, 1, 1, 1, 2, 3]), "event_id long, user_id long, event_type string, ts timestamp_ntz, arrival int")
+    found = idle_users(table, "arrival", 10 * 60, "1 minute")
+    base = 1704067200
+    got = sorted(((r["user_id"], (r["start"] // 1_000_000 - base) // 60, (r["stop"] // 1_000_000 - base) // 60, r["n"], r["kinds"], r["ids"]) for r in found.rows.collect()), key=repr)
+    # User 4 is open at the end; all others are closed, those without a later row by their timers.
+    assert got == sorted([(1, 0, 5, 2, 2, [0, 1]), (1, 40, 40, 1, 1, [3]), (2, 6, 6, 1, 1, [2]), (2, 300, 300, 1, 1, [7]), (3, 41, 41, 2, 0, [4, 5]), (None, 42, 42, 1, 1, [6])], key=repr)
+
+
+def test_an_activity_goes_on_from_trigger_to_trigger(spark):
+    rows = [(1, "a", 0), (1, "b", 8), (1, "a", 16), (1, "a", 24), (2, "z", 100)]
+    table = spark.createDataFrame(minutes(rows, [0, 1, 2, 3, 4]), "event_id long, user_id long, event_type string, ts timestamp_ntz, arrival int")
+    assert [(r["user_id"], r["n"], r["kinds"], r["ids"]) for r in idle_users(table, "arrival", 10 * 60, "1 minute").rows.collect()] == [(1, 4, 2, [0, 1, 2, 3])]
+    assert "RocksDB" not in spark.conf.get(PROVIDER[0])
+
+
+def test_outer_join_releases_rows_without_partner(spark):
+    rows = [(1, "p", 0), (1, "c", 30), (2, "p", 10), (1, "c", 45), (1, "p", 400), (2, "c", 401)]
+    table = spark.createDataFrame(minutes(rows, [0, 0, 0, 1, 2, 2]), "event_id long, user_id long, event_type string, ts timestamp_ntz, arrival int")
+    got = pairs_or_alone(table.where("event_type = 'p'"), table.where("event_type = 'c'"), "arrival", "1 hour", "10 minutes").rows.collect()
+    assert sorted(map(tuple, got), key=repr) == [(0, 1), (0, 3), (2, None)]  # the purchase of minute 400 may still find one
