@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import aggregates, extensions, graphs, joins, rows, scalars, star, streams, times, windows  # noqa: F401  they fill the register
+from tessera.plans import aggregates, extensions, graphs, joins, rows, scalars, star, storage, streams, times, windows  # noqa: F401  they fill the register
 from tessera.plans.registry import ORACLE, QUERIES
 
 
