@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, language, packing, suffixes, toxicity
-from tessera.llm.common import written
+from tessera.llm.common import unused, written
 
 TOXIC = 0.7
 
@@ -24,7 +24,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     their texts like any other. Without labels nothing is toxic; an empty table stays empty.
     """
     model = toxicity.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, out="_toxicity").where(F.col("_toxicity") < TOXIC).select(*docs.columns)
+    (out,) = unused(docs, "_toxicity")
+    return toxicity.score(docs, model, out=out).where(F.col(out) < TOXIC).select(*docs.columns)
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,11 +46,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     alike = jaccard.similar_classes(docs, words=5, num=80, den=100).where("doc_id is not null and class_id is not null")
     found = written(alike.select("doc_id", "text_key", "class_id"), "alike")
-    row = F.struct("doc_id", "text_key")
+    row, (key,) = F.struct("doc_id", "text_key"), unused(docs, "_text_key")
     first = found.groupBy("class_id").agg(F.min(row).alias("first"))
-    gone = found.join(first, "class_id").where(row != F.col("first")).select("doc_id", F.col("text_key").alias("_text_key")).distinct()
-    keyed = docs.withColumn("_text_key", F.xxhash64("text"))
-    return keyed.join(gone, ["doc_id", "_text_key"], "left_anti").dropDuplicates(["doc_id", "_text_key"]).select(*docs.columns)
+    gone = found.join(first, "class_id").where(row != F.col("first")).select("doc_id", F.col("text_key").alias(key)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    return keyed.join(gone, ["doc_id", key], "left_anti").dropDuplicates(["doc_id", key]).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

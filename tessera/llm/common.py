@@ -23,6 +23,8 @@ def scratch_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors; one of this machine only where the session names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors and driver need a folder that they share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -70,6 +72,16 @@ def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(bounded, schema)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """names, with underscores before those that df has a column of: work columns that clash with none of its own."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        found.append(name)
+    return found
+
+
 def crc_mod(column: str, divisor: int) -> Column:
     """crc32 of the id as text, modulo divisor; null ids give -1, which no fold has."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % F.lit(divisor), F.lit(-1)).cast("int")
@@ -113,9 +125,11 @@ def ranked(df: DataFrame, key: list[str], order: list[Column], salt: Column, sal
     A key's rows are dealt to salts parts; counts by part, summed before they are shuffled, give each part its
     first rank, and a window numbers the rows within a part. Rows that tie in order are told apart arbitrarily.
     """
-    parts = df.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int"))
-    before = Window.partitionBy(*key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.groupBy(*key, "_salt").count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    within = Window.partitionBy(*key, "_salt").orderBy(*order)
-    numbered = parts.withColumn("_row", F.row_number().over(within) - 1)
-    return numbered.join(starts.drop("count"), [*key, "_salt"]).withColumn(rank, F.col("_start") + F.col("_row")).drop("_salt", "_start", "_row")
+    part, first, nth = unused(df, "_salt", "_start", "_row")
+    parts = df.withColumn(part, F.pmod(salt, F.lit(salts)).cast("int"))
+    before = Window.partitionBy(*key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = parts.groupBy(*key, part).agg(F.count(F.lit(1)).alias(nth))
+    starts = counts.select(*key, part, F.coalesce(F.sum(nth).over(before), F.lit(0)).alias(first))
+    within = Window.partitionBy(*key, part).orderBy(*order)
+    numbered = parts.withColumn(nth, F.row_number().over(within) - 1)
+    return numbered.join(starts, [*key, part]).withColumn(rank, F.col(first) + F.col(nth)).drop(part, first, nth)

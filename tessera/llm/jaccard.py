@@ -150,6 +150,18 @@ def placed(documents: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").unionByName(written(nameless, "nameless"))
 
 
+def once(table: DataFrame, key: list[str]) -> DataFrame:
+    """A written table with one row for each key, where rows of a key are equal: repeated rows of documents bring theirs again.
+
+    Keys are counted without the other columns; rows whose key comes once, nearly all, are not shuffled.
+    """
+    again = written(table.groupBy(*key).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(*key), "again")
+    if again.isEmpty():
+        return table
+    several = table.join(again, key, "left_semi").dropDuplicates(key)
+    return written(table.join(again, key, "left_anti").unionByName(several), "once")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, entities: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b: signatures) whose sets are similar; only texts that a pair needs leave their place."""
     needed = pairs.select(F.col("a").alias("sig")).unionAll(pairs.select(F.col("b").alias("sig"))).distinct()
@@ -172,7 +184,7 @@ def verified(pairs: DataFrame, docs: DataFrame, entities: DataFrame, words: int,
                 keep.append(common * den >= num * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    sets = written(in_batches(texts, to_sets, "sig long, tokens binary"), "sets")
+    sets = once(written(in_batches(texts, to_sets, "sig long, tokens binary"), "sets"), ["sig"])
     left = pairs.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x")), "a")
     both = left.join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y")), "b")
     links = written(in_batches(both.select("a", "b", "x", "y"), compare, "a long, b long"), "links")
@@ -282,12 +294,14 @@ def similar_classes(documents: DataFrame, words: int = 5, num: int = 80, den: in
 
     token = Window.partitionBy("token").orderBy("n", "group")
     leaders = members.where("sig = group").select("place", "sig")
-    tokens = listed.join(leaders, ["place", "sig"]).select(F.explode("prefix").alias("token"), F.col("sig").alias("group"), F.col("n").cast("int").alias("n"))
+    led = once(listed, ["place", "sig"]).join(leaders, ["place", "sig"])
+    tokens = led.select(F.explode("prefix").alias("token"), F.col("sig").alias("group"), F.col("n").cast("int").alias("n"))
     met = tokens.select("token", "group", "n", F.lag("group").over(token).alias("before"), F.lag("n").over(token).alias("before_n"), F.lead("group").over(token).alias("after"))
     met = written(met.where("before is not null or after is not null").drop("after"), "tokens")
 
     pairs = members.where("sig != group").select(F.col("sig").alias("a"), F.col("group").alias("b"))
-    pairs = written(pairs.unionAll(beside(met, num, den)).unionAll(central(met, num, den)), "pairs")
+    pairs = pairs.unionAll(beside(met, num, den)).unionAll(central(met, num, den))
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     links = verified(pairs, docs, members, words, num, den)
     known = written(merged(members.withColumn("class", F.col("sig")), links), "classes")
     # Each class meets the few that share most tokens with it, by its first member; what links makes fewer classes.

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import give_back
+from tessera.llm.common import give_back, written
 
 #: Values of a label that have a sample of full size each; more values share the rows of so many equally.
 CLASSES = 64
@@ -20,29 +20,35 @@ MOST_BYTES = 24 << 20
 PARTS = 1 << 30
 
 
-def thinned(rows: DataFrame, label: str, most: int) -> DataFrame:
-    """About ``most`` rows (or all) of each label value, chosen by a hash of doc_id against the value's share of rows.
+def thinned(rows: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """Rows (label, h: a hash of what tells them apart, ...) of which about twice ``most`` (or all) of each label value are left, and the rows that a value is to have.
 
-    No value is left out: of more than CLASSES values each has as many rows fewer as keeps the total.
+    Rows are chosen by their hashes against the value's number of rows; the one of least hash is always among them, so no
+    value is left out, whatever repeats. Of more than CLASSES values each has as many rows fewer as keeps the total.
     """
-    known = rows.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    counts = known.groupBy(label).count().collect()  # a row for each label value
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).collect()  # a row for each label value
     each = max(1, min(most, CLASSES * most // max(1, len(counts))))
-    part = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(PARTS))
-    kind = rows.schema[label].dataType.simpleString()
-    limits = rows.sparkSession.createDataFrame([(r[label], int(PARTS * min(1.0, each / r["count"]))) for r in counts], f"`{label}` {kind}, _limit long")
-    return known.join(F.broadcast(limits), label).where(part < F.col("_limit")).select(*rows.columns)
+    kind = rows.schema["label"].dataType.simpleString()
+    limits = rows.sparkSession.createDataFrame([(r["label"], int(PARTS * min(1.0, 2 * each / r["n"])), r["least"]) for r in counts], f"label {kind}, _limit long, _least long")
+    near = (F.pmod("h", F.lit(PARTS)) < F.col("_limit")) | (F.col("h") == F.col("_least"))
+    return rows.join(F.broadcast(limits), "label").where(near).drop("_limit", "_least"), each
 
 
-def slimmed(rows: DataFrame, label: str, most: int, most_bytes: int) -> DataFrame:
-    """doc_id, text, label of rows (doc_id, text, label): a sample that one task may hold, but for ``within``.
+def bounded(near: DataFrame, each: int, most_bytes: int) -> DataFrame:
+    """doc_id, text, label of near (with h): at most ``each`` different rows of a label value and its share of most_bytes, by ascending hash.
 
-    About ``most`` rows for each label value (never over 2 * CLASSES * most); of a very long text, its beginning.
+    Equal rows count once. Of a very long text the beginning counts, and a value's first row is cut to the share if it is
+    longer. What is chosen depends on the rows alone, not on their order or partitioning; a task may hold all of it.
     """
     size = F.octet_length("text")
     text = F.when(size <= most_bytes // 32, F.col("text")).otherwise(F.substring("text", 1, most_bytes // 128))
-    slim = rows.where(F.col("text").isNotNull()).select("doc_id", text.alias("text"), F.col(label).alias("label"))
-    return slim.limit(2 * CLASSES * most)
+    few = written(near.select("label", "h", "doc_id", text.alias("text")).dropDuplicates(["label", "h"]), "sample")
+    share = most_bytes // max(1, few.select("label").distinct().count())
+    order = Window.partitionBy("label").orderBy("h")
+    rows = few.withColumns({"_rank": F.row_number().over(order), "_bytes": F.sum(F.octet_length("text")).over(order)})
+    first = (F.col("_rank") == 1) & (F.col("_bytes") > share)
+    kept = rows.where((F.col("_rank") <= each) & ((F.col("_bytes") <= share) | first))
+    return kept.select("doc_id", F.when(first, F.substring("text", 1, max(1, share // 4))).otherwise(F.col("text")).alias("text"), "label")
 
 
 def within(table: pa.Table, most_bytes: int) -> pa.Table:
@@ -70,18 +76,22 @@ def within(table: pa.Table, most_bytes: int) -> pa.Table:
 
 
 def labelled_sample(documents: DataFrame, label: str, most: int, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """The sample of documents that carry the label themselves."""
-    return slimmed(thinned(documents.select("doc_id", "text", label), label, most), label, most, most_bytes)
+    """The sample of documents that carry the label themselves; rows without label, id or text are none of it."""
+    known = documents.select("doc_id", "text", F.col(label).alias("label")).dropna()
+    return bounded(*thinned(known.withColumn("h", F.xxhash64(F.lit("sample"), "doc_id", "text")), most), most_bytes)
 
 
 def joined_sample(documents: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int = MOST_BYTES) -> DataFrame:
     """The sample of documents whose label is in another table; repeated labels of an id count once, by the largest.
 
-    The ids are chosen first, so only about ``most`` of each value are broadcast and no text is shuffled.
+    Ids of documents that are there are chosen first, so only about twice ``most`` of each value are broadcast and no other text is
+    shuffled. Rows of a chosen id are then bounded like any.
     """
-    one = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias(label))
-    ids = thinned(one, label, most)
-    return slimmed(documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), label, most, most_bytes)
+    there = documents.where("doc_id is not null and text is not null").select("doc_id").distinct()
+    one = labels.select("doc_id", F.col(label).alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label"))
+    ids, each = thinned(one.join(there, "doc_id", "left_semi").withColumn("h", F.xxhash64(F.lit("sample"), "doc_id")), most)
+    rows = documents.select("doc_id", "text").dropna().join(F.broadcast(ids.select("doc_id", "label")), "doc_id")
+    return bounded(rows.withColumn("h", F.xxhash64(F.lit("sample"), "doc_id", "text")), each, most_bytes)
 
 
 def fitted(sample: DataFrame, fit: Callable[[pa.Table], Any], most_bytes: int = MOST_BYTES) -> Any:

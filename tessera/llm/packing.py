@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm.bpe import encoding, ids_of
-from tessera.llm.common import chunks, in_batches, ranked, written
+from tessera.llm.common import chunks, in_batches, ranked, unused, written
 
 #: Characters about which versions of Unicode, and so the two libraries' patterns, could differ.
 RARE = regex.compile(r"[^\u0000-ӿ]")
@@ -292,18 +292,21 @@ def places(bins: list[Bins]) -> list[tuple[int, int, int, int, int, int]]:
 def packed(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     """pieces (with doc_id, piece, length) with sequence_id and offset; gapless places in each sequence.
 
-    pieces is read twice, so it should be a written table. Empty input gives no rows.
+    pieces is read twice, so it should be a written table. Empty input gives no rows. Other columns are kept, whatever
+    their names; those named like the two results are replaced.
     """
     spark = pieces.sparkSession
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
     rows = places(local_search(next_fit(counts, capacity), capacity))
-    where = spark.createDataFrame(rows, "length long, first long, stop long, each long, base long, at long")
+    size, low, high, each, base, at, rank = unused(pieces, "_size", "_low", "_high", "_each", "_base", "_at", "_rank")
+    where = spark.createDataFrame(rows, ", ".join(f"{c} long" for c in (size, low, high, each, base, at)))
     tie = [F.col(x) for x in ("doc_id", "piece", "start", "ids_crc32") if x in pieces.columns]
-    numbered = ranked(pieces, ["length"], tie, F.xxhash64(*tie), rank="_rank")
+    numbered = ranked(pieces, ["length"], tie, F.xxhash64(*tie), rank=rank)
     # Bounded by the variety of bins, which capacity bounds.
-    joined = numbered.join(F.broadcast(where), (numbered["length"] == where["length"]) & (F.col("_rank") >= F.col("first")) & (F.col("_rank") < F.col("stop"))).drop(where["length"])
-    nth = F.col("_rank") - F.col("first")
-    return joined.withColumns({"sequence_id": (F.col("base") + F.floor(nth / F.col("each"))).cast("long"), "offset": (F.col("at") + (nth % F.col("each")) * F.col("length")).cast("long")}).drop("_rank", "first", "stop", "each", "base", "at")
+    joined = numbered.join(F.broadcast(where), (F.col("length") == F.col(size)) & (F.col(rank) >= F.col(low)) & (F.col(rank) < F.col(high)))
+    nth = F.col(rank) - F.col(low)
+    placed = {"sequence_id": (F.col(base) + F.floor(nth / F.col(each))).cast("long"), "offset": (F.col(at) + (nth % F.col(each)) * F.col("length")).cast("long")}
+    return joined.withColumns(placed).drop(size, low, high, each, base, at, rank)
 
 
 def pack_documents(documents: DataFrame, vocabulary: str, ranks: str | None = None, capacity: int = 2048, end: int = 0) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ranked
+from tessera.llm.common import ranked, unused
 
 
 def ring_steps(spark: SparkSession, shards: int, cells: int, replicas: int) -> DataFrame:
@@ -82,16 +82,19 @@ def shard_by_ring(df: DataFrame, key: Column, tie: list[Column], shards: int = 2
 
     key places a row on the ring (rows with equal keys stay together as far as room allows); tie orders the rows of
     an arc, and only rows equal in all of it are told apart arbitrarily. Null keys have a place like any other.
-    The same rows give the same shards in any order and partitioning. Columns of df named like the work columns
-    (_cell, _rank, _salt, _row, _start) are not allowed; others are kept.
+    The same rows give the same shards in any order and partitioning. Columns of df named shard or slot are replaced,
+    unless key or tie need them; all others are kept, whatever their names.
     """
-    placed = df.withColumn("_cell", F.pmod(F.xxhash64(F.lit("key"), key), F.lit(cells)).cast("int"))
-    rows = ranked(placed, ["_cell"], tie, F.xxhash64(*tie), rank="_rank")
-    counts = placed.groupBy(F.col("_cell").alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    runs = ring_runs(counts, shards, cells, replicas, slack).withColumnRenamed("slot", "_slot")
+    results = ["shard", "slot"]
+    cell, rank, at, low, high, run_shard, run_slot = unused(df, "_cell", "_rank", "_at", "_low", "_high", "_shard", "_slot")
+    placed = df.withColumn(cell, F.pmod(F.xxhash64(F.lit("key"), key), F.lit(cells)).cast("int"))
+    rows = ranked(placed, [cell], tie, F.xxhash64(*tie), rank=rank).drop(*results)
+    counts = placed.groupBy(F.col(cell).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    runs = ring_runs(counts, shards, cells, replicas, slack).select(F.col("cell").alias(at), F.col("first").alias(low), F.col("stop").alias(high), F.col("shard").alias(run_shard), F.col("slot").alias(run_slot))
     # At most cells + shards runs: a bound set by the parameters.
-    joined = rows.join(F.broadcast(runs), (F.col("_cell") == F.col("cell")) & (F.col("_rank") >= F.col("first")) & (F.col("_rank") < F.col("stop")))
-    return joined.withColumn("slot", (F.col("_slot") + F.col("_rank") - F.col("first")).cast("long")).drop("_cell", "_rank", "_slot", "cell", "first", "stop")
+    joined = rows.join(F.broadcast(runs), (F.col(cell) == F.col(at)) & (F.col(rank) >= F.col(low)) & (F.col(rank) < F.col(high)))
+    place = (F.col(run_slot) + F.col(rank) - F.col(low)).cast("long")
+    return joined.withColumns({"shard": F.col(run_shard), "slot": place}).drop(cell, rank, at, low, high, run_shard, run_slot)
 
 
 def shard_documents(documents: DataFrame, shards: int = 24) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, flat_bytes, in_batches, written
+from tessera.llm.common import chunks, flat_bytes, in_batches, unused, written
 from tessera.llm.grams import mixed
 from tessera.llm.jaccard import chosen
 from tessera.llm.shingles import STEP, words
@@ -196,6 +196,8 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     several = several.groupBy("doc_id").agg(F.min("_key").alias("a"), F.max("_key").alias("b")).where("a != b").select("doc_id")
     spans = spans.join(several, "doc_id", "left_anti")
     cuts = spans.groupBy(F.col("doc_id").alias("_doc")).agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("_cuts"))
+    work = unused(documents, "_doc", "_cuts")
+    cuts = cuts.toDF(*work)
     names, kinds = documents.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,5 +223,5 @@ def without_repeats(documents: DataFrame) -> DataFrame:
                 columns[names.index("n_chars")] = pa.array(changed, batch.column("n_chars").type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    joined = documents.join(cuts, documents["doc_id"] == cuts["_doc"], "left").select(*[documents[n] for n in names], cuts["_cuts"])
+    joined = documents.join(cuts, documents["doc_id"] == cuts[work[0]], "left").select(*[documents[n] for n in names], cuts[work[1]])
     return in_batches(joined, run, kinds)
