@@ -6,13 +6,14 @@ estimate of <o, q>, and as q = <o, q> o + sqrt(1 - <o, q>^2) u with u at right a
 
     |<c, q> - f <o, q>| <= sqrt(1 - f^2) sqrt(1 - <o, q>^2) min(1, eps / sqrt(d - 1))
 
-where the share of random rotations that break the bound falls as exp(-eps^2 / 2), and with the 1 none does.
-<o, q> >= t therefore needs <c, q> >= cos(acos t + s acos f), s = 1 for the certain bound. Pairs below that are
-dropped on their codes; only the others are computed again from the vectors in double precision.
+where the share of random rotations that break the bound falls as exp(-eps^2 / 2), and with the 1 none does. Divided by f
+it bounds how far the estimate is off. A pair whose estimate and bound together stay below the threshold is dropped on its
+code; only the others are computed again from the vectors in double precision.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,11 @@ from tessera.llm.components import components
 TILE = 512
 
 
+#: Confidence of the bounds: a pair over the threshold is lost with a chance of about exp(-18), 2 in 10^8.
+EPS = 6.0
+
+
+@functools.cache
 def rotation(dim: int, seed: int = 20240229) -> np.ndarray:
     """A random orthogonal matrix, the same in every task."""
     q, r = np.linalg.qr(np.random.default_rng(seed + dim).normal(size=(dim, dim)))
@@ -48,15 +54,6 @@ def signs(packed: np.ndarray, dim: int) -> np.ndarray:
     return np.unpackbits(packed, axis=1, count=dim).astype(np.float32) * 2 - 1
 
 
-def estimates(packed: np.ndarray, factor: np.ndarray, queries: np.ndarray, eps: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
-    """Unbiased estimates of the cosines of coded rows and queries, and how far off they may be at confidence eps."""
-    dim = queries.shape[1]
-    turned = unit_rows(queries) @ rotation(dim).T
-    estimate = (signs(packed, dim) @ turned.T.astype(np.float32)) / np.sqrt(dim) / factor[:, None]
-    width = np.sqrt(1 - factor**2) / factor * min(1.0, eps / np.sqrt(max(1, dim - 1)))
-    return estimate, np.broadcast_to(width[:, None], estimate.shape)
-
-
 def least_product(factor: np.ndarray, threshold: float, eps: float | None = None, dim: int = 64) -> np.ndarray:
     """<c, q> below this rules out a cosine of threshold; certain without eps."""
     share = 1.0 if eps is None else min(1.0, eps / np.sqrt(max(1, dim - 1)))
@@ -64,6 +61,16 @@ def least_product(factor: np.ndarray, threshold: float, eps: float | None = None
     return threshold * np.cos(angle) - np.sqrt(1 - threshold**2) * np.sin(angle) * share - 1e-5  # float32 products
 
 
+def estimates(packed: np.ndarray, factor: np.ndarray, queries: np.ndarray, eps: float | None = EPS, cosine: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Unbiased estimates of the cosines of coded rows and queries, and how far below a true value of ``cosine`` or more
+    they may be at confidence eps (None: at all)."""
+    dim = queries.shape[1]
+    turned = unit_rows(queries) @ rotation(dim).T
+    estimate = (signs(packed, dim) @ turned.T.astype(np.float32)) / np.sqrt(dim) / factor[:, None]
+    width = cosine - least_product(factor, cosine, eps, dim) / factor
+    return estimate, np.broadcast_to(width[:, None], estimate.shape)
+
+
 def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Labels (smallest member) after joining the classes of the pairs a, b."""
     pair = np.unique(label[a].astype(np.int64) * len(label) + label[b])
@@ -86,20 +93,17 @@ def block_links(ids: np.ndarray, copies: np.ndarray, x: np.ndarray, packed: np.n
 
     left marks the rows of the first block; if all are (a block with itself), every pair counts once.
     """
-    n, dim = x.shape
+    n = len(x)
     order = np.argsort(ids, kind="stable")
     ids, copies, x, packed, factor, left = ids[order], copies[order], x[order], packed[order], factor[order], left[order]
     norm = np.linalg.norm(x, axis=1)
-    turned = (unit_rows(x) @ rotation(dim).T).astype(np.float32)
-    code = signs(packed, dim) / np.float32(np.sqrt(dim))
-    limit = least_product(factor, threshold, eps, dim).astype(np.float32)
     own = left.all()
     rows, columns = np.flatnonzero(left), np.flatnonzero(left if own else ~left)
     links, label = np.zeros(n, np.int64), np.arange(n)
     for start in range(0, len(rows), TILE):
         some = rows[start : start + TILE]
-        near = turned[some] @ code[columns].T >= limit[columns]
-        i, j = np.nonzero(near)
+        estimate, width = estimates(packed[columns], factor[columns], x[some], eps, threshold)
+        j, i = np.nonzero(estimate + width >= threshold)
         i, j = some[i], columns[j]
         if own:
             i, j = i[i < j], j[i < j]
@@ -131,13 +135,14 @@ def coded(df: DataFrame) -> DataFrame:
     return in_batches(df, run, f"{kinds}, code binary, factor double")
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, block: int = 4096, eps: float | None = None) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, block: int = 4096, eps: float | None = EPS) -> DataFrame:
     """vec_id, n_links, component_id, kept: links between vectors of equal label with cosine >= threshold.
 
     Vectors that are null, zero or hold null or non-finite components, and those of null label, link with nothing;
     vectors of different length neither. Rows without vec_id have no identity and are left out; rows that repeat a
-    vec_id count once, by the smallest (label, embedding). An empty table gives no rows. eps None takes the certain
-    bound, with which no link is lost.
+    vec_id count once, by the smallest (label, embedding). An empty table gives no rows; columns other than
+    vec_id, label and embedding, whatever their names, play no part. eps is the confidence of the bounds that decide which
+    pairs are computed exactly; None takes the certain bound, with which no link is ever lost.
 
     Exact copies are collapsed before any comparison, so their number costs nothing. A label's other vectors are dealt
     to blocks of about ``block`` rows by a hash; every pair of its blocks is one group of the shuffle, of bounded size,

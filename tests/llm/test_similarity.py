@@ -106,6 +106,23 @@ def test_estimates_are_unbiased_and_bounds_hold():
         assert (product >= embeddings.least_product(factor, t)[:, None])[true >= t].all()
 
 
+def test_confidence_bounds_lose_no_link():
+    """Pairs just over the threshold, of vectors with few and with many equal components: none is under the bound in use."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(4000, 64)) * (rng.random((4000, 64)) < rng.choice([0.05, 0.3, 1.0], 4000)[:, None])
+    x[:, 0] += 0.01
+    u = embeddings.unit_rows(x)
+    side = rng.normal(size=x.shape)
+    side = embeddings.unit_rows(side - (side * u).sum(axis=1)[:, None] * u)
+    q = 0.9801 * u + np.sqrt(1 - 0.9801**2) * side
+    packed, factor = embeddings.codes(x)
+    for start in range(0, 4000, 200):
+        some = slice(start, start + 200)
+        estimate, width = embeddings.estimates(packed[some], factor[some], q[some], cosine=0.98)
+        assert (np.diag(estimate + width) >= 0.98).all()
+        assert (estimate + width >= 0.98).mean() < 0.2  # and it rules most other pairs out
+
+
 # ---------------------------------------------------------------- shingles
 
 
