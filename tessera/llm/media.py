@@ -57,7 +57,7 @@ def stored_as_jpeg(df: DataFrame, data: str, tensors: bool = True) -> DataFrame:
                     rgb = jpeg.samples(frame, coefficients)
                     features.append(described(rgb))
                     if tensors:
-                        pictures.append(rgb.tobytes())
+                        pictures.append(rgb.astype(np.uint8, copy=False).tobytes())
                 columns = [pa.array(files, pa.binary()), pa.array(back, pa.binary()), pa.array([f.width for f in frames], pa.int32()), pa.array([f.height for f in frames], pa.int32()), pa.array(features, pa.string())]
                 if tensors:
                     columns.append(pa.array(pictures, pa.binary()))
@@ -67,9 +67,14 @@ def stored_as_jpeg(df: DataFrame, data: str, tensors: bool = True) -> DataFrame:
 
 
 def media_digests(documents: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature for every row."""
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, width, height, rgb_sha256.
+
+    One row for every row, repeated ones with equal values; an empty table gives none, a null text counts as empty, a very
+    long one is coded alone and whole, and columns other than doc_id and text play no part. rgb_sha256 is of the tensor
+    column, height x width x 3 bytes.
+    """
     slim = documents.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    out = stored_as_jpeg(slim, "text", tensors=False)
+    out = stored_as_jpeg(slim, "text")
     size = F.octet_length("payload")
     return out.select(
         "doc_id",
@@ -80,4 +85,7 @@ def media_digests(documents: DataFrame) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        "width",
+        "height",
+        F.sha2("rgb", 256).alias("rgb_sha256"),
     )

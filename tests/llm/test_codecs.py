@@ -143,9 +143,45 @@ def test_media_keeps_every_text(spark):
         assert features.setdefault(data, (bytes(r["media"]), r["feature"])) == (bytes(r["media"]), r["feature"])
 
 
+def plain_picture(data, width, height):
+    """The tensor by the defining matrices, one block after another: bytes as coefficients, luma by rows, then two chroma planes."""
+    order = sorted(((y, x) for y in range(8) for x in range(8)), key=lambda p: (p[0] + p[1], p[0] if (p[0] + p[1]) % 2 else p[1]))
+    basis = np.array([[(0.125**0.5 if u == 0 else 0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+    blocks = np.frombuffer(data, np.int8).reshape(-1, 64)
+    planes, at = [], 0
+    for w, h in ((width, height), (width // 2, height // 2), (width // 2, height // 2)):
+        plane = np.full((h, w), 128.0)
+        for k in range(w * h // 64):
+            if at + k < len(blocks):
+                square = np.zeros((8, 8))
+                for value, p in zip(blocks[at + k], order, strict=True):
+                    square[p] = value
+                y, x = k // (w // 8) * 8, k % (w // 8) * 8
+                plane[y : y + 8, x : x + 8] = np.clip(np.floor(basis.T @ square @ basis + 128.5), 0, 255)
+        planes.append(plane if not planes else plane.repeat(2, axis=0).repeat(2, axis=1) - 128)
+        at += w * h // 64
+    luma, blue, red = planes
+    return np.clip(np.floor(np.stack([luma + 1.402 * red, luma - 0.344136 * blue - 0.714136 * red, luma + 1.772 * blue], axis=2) + 0.5), 0, 255)
+
+
+def test_stored_tensors_are_the_pictures(spark):
+    out = media.stored_as_jpeg(spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 40").select("doc_id", "text"), "text").collect()
+    assert len(out) == 40
+    for r in out:
+        rgb = np.frombuffer(r["rgb"], np.uint8).reshape(r["height"], r["width"], 3)
+        away = np.abs(plain_picture(bytes(r["payload"]), r["width"], r["height"]) - rgb)
+        assert away.max() <= 2 and (away > 0).mean() < 0.01  # sums on an edge of rounding
+        assert r["feature"] == media.described(rgb)
+
+
 def test_media_query(spark):
     texts = {r["doc_id"]: r["text"].encode() for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    stored = {r["doc_id"]: r for r in media.stored_as_jpeg(spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id % 9 = 0").select("doc_id", "text"), "text").collect()}
     for r in registered.op3_media(spark, DATA).collect():
+        if r["doc_id"] in stored:
+            s = stored[r["doc_id"]]
+            assert (r["media_bytes"], r["media_sha256"], r["rgb_sha256"]) == (len(s["media"]), *(hashlib.sha256(s[n]).hexdigest() for n in ("media", "rgb")))
+            assert (r["width"], r["height"], r["feature"]) == (s["width"], s["height"], s["feature"])
         data = media.padded(texts[r["doc_id"]])
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(texts[r["doc_id"]]), len(data), hashlib.sha256(data).hexdigest())
         assert r["tail_crc32"] == zlib.crc32(data[-64:])
