@@ -1,6 +1,6 @@
 """Toxicity by a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Which n-grams a text holds, and not how often, makes its features. Each feature is scaled by the log of the ratio of
+N-grams are of code points of the case-folded text. Which of them a text holds, and not how often, makes its features. Each feature is scaled by the log of the ratio of
 its smoothed shares among toxic and clean texts; logistic regression over the scaled features is trained by
 gradient descent in numpy. Scale and weight fold into one table, so a score is a sum over the n-grams of a text.
 """
@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, crc_mod, flat_bytes, in_batches
-from tessera.llm.grams import LOWER, byte_grams
+from tessera.llm.common import chunks, crc_mod, in_batches
+from tessera.llm.grams import character_grams, code_points
 from tessera.llm.learning import fitted, in_fold, joined_sample
 
 ORDERS = (4, 5, 6)
@@ -41,7 +41,7 @@ def presence(flat: np.ndarray, at: np.ndarray, among: np.ndarray | None = None)
     """text * BUCKETS + bucket of every n-gram (of the buckets where among holds) that a text has, once each, in order."""
     parts = []
     for order in ORDERS:
-        bucket, owner = byte_grams(LOWER[flat], at, order, BUCKETS)
+        bucket, owner = character_grams(flat, at, order, BUCKETS)
         if among is not None:
             some = among[bucket]
             bucket, owner = bucket[some], owner[some]
@@ -61,9 +61,9 @@ def fit(sample: pa.Table, features: int = 4096, least: int = 5, alpha: float = 1
         return NaiveBayesLinear(np.zeros(BUCKETS, np.float32), 4.0 if pos else -4.0)
     p, q = np.zeros(BUCKETS), np.zeros(BUCKETS)
     step = 256  # rows whose n-grams are held at once
-    parts = [(start, flat_bytes(sample.column("text").slice(start, step).combine_chunks())) for start in range(0, len(y), step)]
-    for start, (flat, at) in parts:
-        held = presence(flat, at)
+    texts = sample.column("text").combine_chunks()
+    for start in range(0, len(y), step):
+        held = presence(*code_points(texts.slice(start, step)))
         toxic = y[start + held // BUCKETS] == 1
         p += np.bincount(held[toxic] % BUCKETS, minlength=BUCKETS)
         q += np.bincount(held[~toxic] % BUCKETS, minlength=BUCKETS)
@@ -74,7 +74,7 @@ def fit(sample: pa.Table, features: int = 4096, least: int = 5, alpha: float = 1
     chosen = chosen[n[chosen] >= least]
     column = np.full(BUCKETS, -1, np.int64)
     column[chosen] = np.arange(len(chosen))
-    held = [presence(flat, at, column >= 0) + start * BUCKETS for start, (flat, at) in parts]
+    held = [presence(*code_points(texts.slice(start, step)), column >= 0) + start * BUCKETS for start in range(0, len(y), step)]
     r, c = np.concatenate(held) // BUCKETS, column[np.concatenate(held) % BUCKETS]
     value = ratio[chosen][c]
     weight = np.where(y == 1, 0.5 / pos, 0.5 / neg)  # both classes count alike, whatever their shares in the sample
@@ -96,7 +96,8 @@ def fit(sample: pa.Table, features: int = 4096, least: int = 5, alpha: float = 1
 def score(df: DataFrame, model: NaiveBayesLinear, text: str = "text", out: str = "score") -> DataFrame:
     """df with the score of its text column (0 to 1); null texts are scored as empty ones. Rows keep their columns.
 
-    A column of df named like the result is replaced.
+    A column of df named like the result is replaced. Texts are scored whole, a very long one alone; equal texts have
+    equal scores, and an empty table has none.
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)  # BUCKETS floats
@@ -106,7 +107,7 @@ def score(df: DataFrame, model: NaiveBayesLinear, text: str = "text", out: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, text, 1 << 18):
-                found = shared.value.score(*flat_bytes(part.column(text)))
+                found = shared.value.score(*code_points(part.column(text)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.float64())], names=[*part.schema.names, out])
 
     return in_batches(df.select(*[f"`{f.name}`" for f in kept]), run, schema)

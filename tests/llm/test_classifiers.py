@@ -9,7 +9,7 @@ import pytest
 
 from tessera.llm import language, learning, quality, toxicity
 from tessera.llm import queries as registered
-from tessera.llm.grams import byte_grams
+from tessera.llm.grams import byte_grams, character_grams, code_points
 from tessera.llm.common import flat_bytes
 
 DATA = "/root/testdata/sf0.01"
@@ -31,6 +31,51 @@ def test_grams_stay_within_their_text():
     assert owner.tolist() == [0, 0, 4, 4, 5] and bucket[:2].tolist() == bucket[2:4].tolist()
 
 
+def test_character_grams_are_of_folded_code_points():
+    flat, at = code_points(pa.array(["STRASSE", None, "straße", "ÄÖÜ", "äöü", "日本語", "xäöü"]))
+    assert at.tolist() == [0, 7, 7, 14, 17, 20, 23, 27]
+    bucket, owner = character_grams(flat, at, 3, 1 << 20)
+    of = {i: bucket[owner == i].tolist() for i in range(7)}
+    assert of[0] == of[2] and len(of[0]) == 5 and of[3] == of[4] and len(of[5]) == 1 and of[1] == [] and of[6][1:] == of[4]
+    assert character_grams(*code_points(pa.array(["ab", None])), 3, 1 << 20)[0].tolist() == []
+
+
+def sample_of(spark, without=None):
+    rows = [(r["text"], r["lang"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").collect() if fold(r["doc_id"], 4) != 2 and r["lang"] != without]
+    return pa.table({"text": [t for t, _ in rows], "label": [label for _, label in rows]})
+
+
+def held_texts(spark):
+    return [(r["text"], r["lang"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect() if fold(r["doc_id"], 4) == 2]
+
+
+FOREIGN = [
+    "De snelle bruine vos springt over de luie hond terwijl de kinderen in de tuin spelen en hun ouders koffie drinken.",
+    "La rapida volpe marrone salta sopra il cane pigro mentre i bambini giocano nel giardino e i genitori bevono il caffè.",
+    "Szybki brązowy lis przeskakuje nad leniwym psem, podczas gdy dzieci bawią się w ogrodzie.",
+    "素早い茶色の狐がのろまな犬を飛び越える間、子供たちは庭で遊び、両親はテラスでコーヒーを飲んでいます。",
+    "Быстрая коричневая лиса прыгает через ленивую собаку, пока дети играют в саду.",
+    "xqzv wkjpt bnmrgh qqwzx plkjh vbnmc zxcvq wrtyp sdfgh jklmn pqrst vwxyz bcdfg",
+]
+
+
+def test_foreign_texts_are_rejected_and_confidence_is_accuracy(spark):
+    model, held = language.fit(sample_of(spark)), held_texts(spark)
+    assert model.predict(*flat_bytes(pa.array(FOREIGN)))[2].all()
+    for chars, error in ((10, 0.06), (20, 0.06), (40, 0.04), (None, 0.02)):
+        best, score, rejected = model.predict(*flat_bytes(pa.array([t[:chars] for t, _ in held])))
+        right = np.array([model.languages[b] == lang for b, (_, lang) in zip(best, held, strict=True)])
+        assert abs(score.mean() - right.mean()) <= error
+        assert (rejected & right).mean() < 0.02
+
+
+def test_a_language_left_out_of_training_is_rejected(spark):
+    model, held = language.fit(sample_of(spark, without="de")), held_texts(spark)
+    rejected = model.predict(*flat_bytes(pa.array([t for t, lang in held if lang == "de"])))[2]
+    kept = ~model.predict(*flat_bytes(pa.array([t for t, lang in held if lang != "de"])))[2]
+    assert "de" not in model.languages and rejected.mean() > 0.9 and kept.mean() > 0.98
+
+
 def test_language_query(spark):
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
     rows = registered.op4_language(spark, DATA).collect()
@@ -67,13 +112,24 @@ def test_toxicity_query(spark):
     assert sum(p == y for p, y in held) > 0.9 * len(held) and sum(p for p, y in held if not y) <= 0.03 * len(held)
 
 
+def test_toxicity_finds_what_the_labels_show(spark):
+    """Of held-out toxic documents, those that hold a word no clean labelled one holds, and that many toxic ones do."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    label = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect() if r["doc_id"] in texts}
+    words = {i: set(texts[i].casefold().replace(",", " ").replace(".", " ").split()) for i in label}
+    telling = {w for i, y in label.items() if y for w in words[i] if sum(w in words[k] for k, z in label.items() if z) >= 8}
+    telling -= {w for i, y in label.items() if not y for w in words[i]}
+    held = [r for r in registered.op8_toxicity(spark, DATA).collect() if r["held_out"] and label.get(r["doc_id"]) and words[r["doc_id"]] & telling]
+    assert len(held) >= 10 and sum(r["predicted"] for r in held) >= 0.9 * len(held)
+
+
 def test_toxicity_learns_words_in_long_texts():
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("aeioustrnlm") for _ in range(rng.randint(2, 8)))
     make = lambda bad: " ".join([word() for _ in range(rng.randint(10, 400))] + ["zgarbage", "qvile"] * bad)
     sample = pa.table({"text": [make(i % 2) for i in range(600)], "label": [i % 2 for i in range(600)]})
     model = toxicity.fit(sample)
-    flat, at = flat_bytes(pa.array([make(i % 2) for i in range(200)]))
+    flat, at = code_points(pa.array([make(i % 2) for i in range(200)]))
     assert (model.score(flat, at) >= 0.7).tolist() == [bool(i % 2) for i in range(200)]
 
 
