@@ -21,6 +21,8 @@ from tessera.llm.learning import fitted, in_fold, joined_sample
 
 ORDERS = (4, 5, 6)
 BUCKETS = 1 << 20
+#: N-grams that are hashed at once.
+BLOCK = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -38,14 +40,19 @@ class NaiveBayesLinear:
 
 
 def presence(flat: np.ndarray, at: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
-    """text * BUCKETS + bucket of every n-gram (of the buckets where among holds) that a text has, once each, in order."""
-    parts = []
+    """text * BUCKETS + bucket of every n-gram (of the buckets where among holds) that a text has, once each, in order.
+
+    N-grams are hashed BLOCK at a time, so a very long text takes no more memory for them than a short one.
+    """
+    parts = [np.zeros(0, np.int64)]
     for order in ORDERS:
-        bucket, owner = character_grams(flat, at, order, BUCKETS)
-        if among is not None:
-            some = among[bucket]
-            bucket, owner = bucket[some], owner[some]
-        parts.append(owner.astype(np.int64) * BUCKETS + bucket)
+        for start in range(0, max(0, len(flat) - order + 1), BLOCK):
+            stop = min(start + BLOCK + order - 1, len(flat))
+            bucket, owner = character_grams(flat[start:stop], np.clip(at, start, stop) - start, order, BUCKETS)
+            if among is not None:
+                some = among[bucket]
+                bucket, owner = bucket[some], owner[some]
+            parts.append(np.unique(owner.astype(np.int64) * BUCKETS + bucket))
     return np.unique(np.concatenate(parts))
 
 
@@ -60,7 +67,7 @@ def fit(sample: pa.Table, features: int = 4096, least: int = 5, alpha: float = 1
     if not pos or not neg:
         return NaiveBayesLinear(np.zeros(BUCKETS, np.float32), 4.0 if pos else -4.0)
     p, q = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    step = 256  # rows whose n-grams are held at once
+    step = 64  # rows whose n-grams are held at once
     texts = sample.column("text").combine_chunks()
     for start in range(0, len(y), step):
         held = presence(*code_points(texts.slice(start, step)))

@@ -40,6 +40,18 @@ def test_character_grams_are_of_folded_code_points():
     assert character_grams(*code_points(pa.array(["ab", None])), 3, 1 << 20)[0].tolist() == []
 
 
+def test_presence_does_not_depend_on_blocks(monkeypatch):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abé ") for _ in range(rng.choice([0, 1, 3, 5, 9, 40, 300]))) for _ in range(60)] + [None]
+    flat, at = code_points(pa.array(texts))
+    whole = toxicity.presence(flat, at)
+    want = {(i, t[k : k + n]) for i, t in enumerate(texts) if t for n in toxicity.ORDERS for k in range(len(t) - n + 1)}
+    assert abs(len(whole) - len(want)) <= 0.01 * len(want)  # n-grams that share a bucket
+    for block in (1, 7, 64):
+        monkeypatch.setattr(toxicity, "BLOCK", block)
+        assert (toxicity.presence(flat, at) == whole).all()
+
+
 def sample_of(spark, without=None):
     rows = [(r["text"], r["lang"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").collect() if fold(r["doc_id"], 4) != 2 and r["lang"] != without]
     return pa.table({"text": [t for t, _ in rows], "label": [label for _, label in rows]})
