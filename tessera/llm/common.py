@@ -119,6 +119,20 @@ def list_column(flat: np.ndarray, at: np.ndarray, kind: pa.DataType) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat, kind))
 
 
+def joined_unevenly(rows: DataFrame, side: DataFrame, on: list[str], n: str, most: int = 1 << 16, hot: int = 1000) -> DataFrame:
+    """rows.join(side, on), where side has one row for each key and counts the rows of the key in column n.
+
+    No key's rows meet in one task: the ``most`` most frequent keys (of those with ``hot`` rows or more) are broadcast, and
+    their rows stay where they are. Others, each with fewer rows than one part in ``most``, are joined by a shuffle. Both
+    tables are read several times, so they are written tables or plans whose rows are always the same.
+    """
+    often = side.where(F.col(n) >= hot).orderBy(F.desc(n), *on).limit(most)
+    found = rows.join(F.broadcast(often), on)
+    keys = often.select(*on)
+    rest = rows.join(F.broadcast(keys), on, "left_anti").join(side.join(F.broadcast(keys), on, "left_anti"), on)
+    return found.unionByName(rest)
+
+
 def ranked(df: DataFrame, key: list[str], order: list[Column], salt: Column, salts: int = 256, rank: str = "rank") -> DataFrame:
     """Gapless ranks from 0 within each key, without one task for a key that holds a large share of the rows.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, flat_bytes, in_batches, unused, written
+from tessera.llm.common import chunks, flat_bytes, in_batches, joined_unevenly, unused, written
 from tessera.llm.grams import mixed
 from tessera.llm.jaccard import chosen
 from tessera.llm.shingles import STEP, words
@@ -160,27 +160,30 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     and rows of null doc_id have no spans; rows that repeat a doc_id count once. An empty table gives no rows.
     """
     docs = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    by_key = Window.partitionBy("key").orderBy("around", "doc_id", "place")
-    same = Window.partitionBy("key", "around").orderBy("doc_id", "place")
-    sorted_rows = suffix_rows(docs).withColumns({"before": F.lag("doc_id").over(by_key), "after": F.lead("doc_id").over(by_key), "head": F.first(F.struct("doc_id", "place")).over(same)})
-    shared = written(sorted_rows.where("before is not null or after is not null").drop("before", "after"), "suffixes")
-
-    heads = shared.where((F.col("doc_id") == F.col("head.doc_id")) & (F.col("place") == F.col("head.place"))).select("key", "around", "doc_id", "place").distinct()
-    differing = heads.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    places = written(heads.join(differing, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "around", "place")).alias("places")), "places")
+    rows, where = written(suffix_rows(docs), "suffixes"), F.struct("doc_id", "place")
+    # Counted before the shuffle, so a passage that many texts share is one row for each task.
+    groups = rows.groupBy("key", "around").agg(F.min(where).alias("head"), F.max(where).alias("last"), F.count(F.lit(1)).alias("n"))
+    groups = written(groups, "groups")
+    keys = groups.groupBy("key").agg(F.count(F.lit(1)).alias("differing")).where("differing > 1")
+    heads = written(joined_unevenly(groups.select("key", "around", "head", "n"), written(keys, "keys"), ["key"], "differing"), "heads")
+
+    places = heads.groupBy(F.col("head.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("key", "around", F.col("head.place").alias("place"))).alias("places"))
+    places = written(places, "places")
     texts = chosen(docs, places.select("doc_id")).join(places, "doc_id")
     runs = written(runs_through(texts), "runs")
-    where = F.struct("doc_id", "place")
-    first = runs.groupBy("key", "run").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first < last").drop("last")
-    later = runs.join(first, ["key", "run"]).where(where > F.col("first"))
+    first = runs.groupBy("key", "run").agg(F.min(where).alias("first"), F.max(where).alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").drop("last")
+    later = joined_unevenly(runs, written(first, "first"), ["key", "run"], "n").where(where > F.col("first"))
     # Leads are less than LEAST apart, so a suffix's runs overlap and make one span.
-    matches = later.groupBy("key", "around").agg(F.max("lead").alias("l"), (F.lit(LEAST) - F.min("lead")).alias("r"), F.min("first.doc_id").alias("first_doc_id"))
-
-    start, stop = (F.col("place") - F.col("l")).alias("start"), (F.col("place") + F.col("r")).alias("stop")
-    equal = shared.where((F.col("head.doc_id") < F.col("doc_id")) | ((F.col("head.doc_id") == F.col("doc_id")) & (F.col("head.place") < F.col("place")))).where(F.col("left") + F.col("right") >= LEAST)
-    spans = equal.select("doc_id", F.col("place") - F.col("left"), F.col("place") + F.col("right"), F.col("head.doc_id").alias("first_doc_id"))
-    found = shared.join(matches, ["key", "around"]).select("doc_id", start, stop, matches["first_doc_id"])
-    out = joined_spans(spans.toDF("doc_id", "start", "stop", "first_doc_id").unionAll(found).distinct())
+    matches = later.groupBy("key", "around").agg(F.max("lead").alias("l"), (F.lit(LEAST) - F.min("lead")).alias("r"), F.min("first.doc_id").alias("earlier"))
+
+    # Of a group, all but the head repeat its whole neighbourhood; head and others repeat what was found for them all.
+    wanted = groups.join(matches, ["key", "around"], "left").where((F.col("head") < F.col("last")) | F.col("l").isNotNull()).drop("last")
+    each = joined_unevenly(rows, written(wanted, "wanted"), ["key", "around"], "n")
+    span = lambda l, r, doc: F.struct((F.col("place") - F.col(l)).alias("start"), (F.col("place") + F.col(r)).alias("stop"), F.col(doc).alias("first_doc_id"))
+    equal = F.when((F.col("head") < where) & (F.col("left") + F.col("right") >= LEAST), span("left", "right", "head.doc_id"))
+    both = F.array_compact(F.array(equal, F.when(F.col("l").isNotNull(), span("l", "r", "earlier"))))
+    spans = each.select("doc_id", F.explode(both).alias("span")).select("doc_id", "span.*")
+    out = joined_spans(spans.distinct())
     return out.select("doc_id", "start", "stop", (F.col("stop") - F.col("start")).alias("n_words"), "first_doc_id")
 
 

@@ -10,6 +10,7 @@ import pytest
 
 from tessera.llm import embeddings, jaccard, ring, suffixes
 from tessera.llm import queries as registered
+from tessera.llm.common import joined_unevenly
 from tessera.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -288,6 +289,23 @@ def test_repeats_behind_a_shorter_first_occurrence(spark):
     assert covered(spark, rows) == brute_repeats(rows, suffixes.LEAST)
 
 
+@pytest.mark.parametrize("most", [3, 1 << 16])
+def test_repeats_of_broadcast_keys(spark, monkeypatch, most):
+    """Keys of two rows or more count as hot: all are broadcast, or three and the others shuffled."""
+    monkeypatch.setattr(suffixes, "joined_unevenly", lambda rows, side, on, n: joined_unevenly(rows, side, on, n, most, 2))
+    rows = passages(5)[:60]
+    rows += [(500 + i, rows[5][1]) for i in range(9)]
+    assert covered(spark, rows) == brute_repeats(rows, suffixes.LEAST)
+
+
+def test_uneven_join_is_a_join(spark):
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(300)] + [(None, -1)], "k long, v long")
+    side = rows.where("k is not null and k != 4").groupBy("k").count()
+    want = sorted(map(str, rows.join(side, ["k"]).collect()))
+    for most, hot in ((0, 1), (2, 1), (100, 1), (100, 1000)):
+        assert sorted(map(str, joined_unevenly(rows, side, ["k"], "count", most, hot).collect())) == want
+
+
 def test_repeats_query(spark):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     want = brute_repeats(rows, suffixes.LEAST)
