@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import chunks, flat_bytes, in_batches, joined_unevenly, unused, written
+from tessera.llm.common import chunks, discard, flat_bytes, in_batches, joined_unevenly, unused, written
 from tessera.llm.grams import mixed
 from tessera.llm.jaccard import chosen
 from tessera.llm.shingles import STEP, words
@@ -152,6 +152,25 @@ def joined_spans(spans: DataFrame) -> DataFrame:
     return numbered.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("first_doc_id").alias("first_doc_id")).drop("run")
 
 
+def with_heads(rows: DataFrame, most: int = 1 << 16, hot: int = 1000) -> DataFrame:
+    """Suffix rows (a written table) whose key another row has, with head (the first row of equal key and around) and n (their number).
+
+    The rows of a key are sorted and compared in one window. Keys of ``hot`` rows or more, the ``most`` most frequent of
+    them, do not go through it: they are counted and their heads found before the shuffle, and their rows stay apart.
+    """
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= hot)
+    often = F.broadcast(written(counts.orderBy(F.desc("rows"), "key").limit(most).select("key"), "often"))
+    by_key, same = Window.partitionBy("key"), Window.partitionBy("key", "around")
+    where = F.struct("doc_id", "place")
+    first = F.first(where).over(same.orderBy("doc_id", "place"))
+    order = by_key.orderBy("around", "doc_id", "place")
+    few = rows.join(often, "key", "left_anti").withColumns({"before": F.lag("doc_id").over(order), "after": F.lead("doc_id").over(order), "head": first, "n": F.count(F.lit(1)).over(same)})
+    few = few.where("before is not null or after is not null").drop("before", "after")
+    many = rows.join(often, "key")
+    heads = many.groupBy("key", "around").agg(F.min(where).alias("head"), F.count(F.lit(1)).alias("n"))
+    return few.unionByName(joined_unevenly(many, written(heads, "hot"), ["key", "around"], "n"))
+
+
 def repeated_passages(documents: DataFrame) -> DataFrame:
     """doc_id, start, stop (words, from 0), n_words, first_doc_id: what repeats an earlier passage of LEAST words or more.
 
@@ -161,28 +180,25 @@ def repeated_passages(documents: DataFrame) -> DataFrame:
     """
     docs = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows, where = written(suffix_rows(docs), "suffixes"), F.struct("doc_id", "place")
-    # Counted before the shuffle, so a passage that many texts share is one row for each task.
-    groups = rows.groupBy("key", "around").agg(F.min(where).alias("head"), F.max(where).alias("last"), F.count(F.lit(1)).alias("n"))
-    groups = written(groups, "groups")
-    keys = groups.groupBy("key").agg(F.count(F.lit(1)).alias("differing")).where("differing > 1")
-    heads = written(joined_unevenly(groups.select("key", "around", "head", "n"), written(keys, "keys"), ["key"], "differing"), "heads")
-
-    places = heads.groupBy(F.col("head.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("key", "around", F.col("head.place").alias("place"))).alias("places"))
-    places = written(places, "places")
+    shared = written(with_heads(rows), "shared")
+    discard(rows)
+    heads = shared.where(where == F.col("head")).select("key", "around", "doc_id", "place", "n").distinct()
+    differing = heads.groupBy("key").agg(F.count(F.lit(1)).alias("heads")).where("heads > 1")
+    heads = written(joined_unevenly(heads, written(differing, "differing"), ["key"], "heads"), "heads")
+
+    places = written(heads.groupBy("doc_id").agg(F.collect_list(F.struct("key", "around", "place")).alias("places")), "places")
     texts = chosen(docs, places.select("doc_id")).join(places, "doc_id")
     runs = written(runs_through(texts), "runs")
     first = runs.groupBy("key", "run").agg(F.min(where).alias("first"), F.max(where).alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").drop("last")
     later = joined_unevenly(runs, written(first, "first"), ["key", "run"], "n").where(where > F.col("first"))
     # Leads are less than LEAST apart, so a suffix's runs overlap and make one span.
     matches = later.groupBy("key", "around").agg(F.max("lead").alias("l"), (F.lit(LEAST) - F.min("lead")).alias("r"), F.min("first.doc_id").alias("earlier"))
+    matches = matches.join(heads.select("key", "around", "n"), ["key", "around"])
 
-    # Of a group, all but the head repeat its whole neighbourhood; head and others repeat what was found for them all.
-    wanted = groups.join(matches, ["key", "around"], "left").where((F.col("head") < F.col("last")) | F.col("l").isNotNull()).drop("last")
-    each = joined_unevenly(rows, written(wanted, "wanted"), ["key", "around"], "n")
-    span = lambda l, r, doc: F.struct((F.col("place") - F.col(l)).alias("start"), (F.col("place") + F.col(r)).alias("stop"), F.col(doc).alias("first_doc_id"))
-    equal = F.when((F.col("head") < where) & (F.col("left") + F.col("right") >= LEAST), span("left", "right", "head.doc_id"))
-    both = F.array_compact(F.array(equal, F.when(F.col("l").isNotNull(), span("l", "r", "earlier"))))
-    spans = each.select("doc_id", F.explode(both).alias("span")).select("doc_id", "span.*")
+    equal = shared.where((F.col("head") < where) & (F.col("left") + F.col("right") >= LEAST))
+    spans = equal.select("doc_id", (F.col("place") - F.col("left")).alias("start"), (F.col("place") + F.col("right")).alias("stop"), F.col("head.doc_id").alias("first_doc_id"))
+    found = joined_unevenly(shared.drop("n"), written(matches, "matches"), ["key", "around"], "n")
+    spans = spans.unionAll(found.select("doc_id", F.col("place") - F.col("l"), F.col("place") + F.col("r"), "earlier"))
     out = joined_spans(spans.distinct())
     return out.select("doc_id", "start", "stop", (F.col("stop") - F.col("start")).alias("n_words"), "first_doc_id")
 

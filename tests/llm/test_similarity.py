@@ -293,6 +293,8 @@ def test_repeats_behind_a_shorter_first_occurrence(spark):
 def test_repeats_of_broadcast_keys(spark, monkeypatch, most):
     """Keys of two rows or more count as hot: all are broadcast, or three and the others shuffled."""
     monkeypatch.setattr(suffixes, "joined_unevenly", lambda rows, side, on, n: joined_unevenly(rows, side, on, n, most, 2))
+    heads = suffixes.with_heads
+    monkeypatch.setattr(suffixes, "with_heads", lambda rows: heads(rows, most, 2))
     rows = passages(5)[:60]
     rows += [(500 + i, rows[5][1]) for i in range(9)]
     assert covered(spark, rows) == brute_repeats(rows, suffixes.LEAST)
