@@ -45,7 +45,9 @@ def date_fns(t):
 )
 def math_fns(t):
     v = F.col("value")
-    made = (F.abs(-v), F.ceil(v), F.floor(v), F.round(F.sqrt(v), 9), F.round(F.ln(v), 9), F.round(F.exp(v / 500), 9), F.round(F.pow(v, F.lit(2)), 6), F.signum(v), F.round(F.log10(v), 9), F.round(v, 1), F.col("event_id") % 7, F.greatest(v, F.lit(10.0)))
+    # Spark's logarithm of 0 and below is null, SQL's is -inf and NaN.
+    whole = lambda log: F.coalesce(log, F.when(v == 0, F.lit(float("-inf"))).when(v < 0, F.lit(float("nan"))))
+    made = (F.abs(-v), F.ceil(v), F.floor(v), F.round(F.sqrt(v), 9), F.round(whole(F.ln(v)), 9), F.round(F.exp(v / 500), 9), F.round(F.pow(v, F.lit(2)), 6), F.signum(v), F.round(whole(F.log10(v)), 9), F.round(v, 1), F.col("event_id") % 7, F.greatest(v, F.lit(10.0)))
     return t("events").select("event_id", *[c.alias(k) for k, c in zip("abcdefghijkl", made, strict=True)])
 
 

@@ -44,6 +44,17 @@ def test_query_matches_sql(spark, duck, name):
     assert rows(plans.queries()[name](spark, DATA).toArrow()) == rows(duck.sql(plans.oracle_sql()[name]).to_arrow_table())
 
 
+def test_logarithms_of_zero_and_below_are_those_of_sql(spark, tmp_path):
+    values = [0.0, 0.0, -1.5, 2.5, None, 1.0]
+    spark.createDataFrame(list(enumerate(values)), "event_id long, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = plans.queries()["math_fns"](spark, str(tmp_path)).toArrow()
+    con = duckdb.connect()
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert rows(got) == rows(con.sql(plans.oracle_sql()["math_fns"]).to_arrow_table())
+    logs = {r["event_id"]: (r["e"], r["i"]) for r in got.select(["event_id", "e", "i"]).to_pylist()}
+    assert logs[0] == logs[1] == (-math.inf, -math.inf) and all(map(math.isnan, logs[2])) and logs[4] == (None, None)
+
+
 def test_approximate_distinct_is_close(spark):
     exact = spark.read.parquet(f"{DATA}/orders.parquet").select("o_custkey").distinct().count()
     assert abs(plans.queries()["agg_approx_distinct"](spark, DATA).first()["n"] - exact) <= 0.15 * exact
