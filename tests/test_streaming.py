@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from tessera import streaming
 from tessera.plans.streams import late_arrivals
 from tessera.streaming import idle_users, late_window_totals, pairs_or_alone
 from tessera.streaming.replay import PROVIDER
+from tessera.streaming.timers import IdleUsers
 
 DATA = "/root/testdata/sf0.001"
 
@@ -101,6 +103,39 @@ def test_idle_users_are_closed_by_a_timer_or_by_their_next_row(spark):
     assert got == sorted([(1, 0, 5, 2, 2, [0, 1]), (1, 40, 40, 1, 1, [3]), (2, 6, 6, 1, 1, [2]), (2, 300, 300, 1, 1, [7]), (3, 41, 41, 2, 0, [4, 5]), (None, 42, 42, 1, 1, [6])], key=repr)
 
 
+class CountedState:
+    """A handle and its list state in memory, which count their calls; other kinds of state there are none."""
+
+    def __init__(self):
+        self.calls, self.rows, self.timers, self.now = 0, [], [], 0
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return {
+            "exists": lambda: bool(self.rows), "get": lambda: iter(self.rows), "clear": lambda: self.put([]), "put": lambda rows: setattr(self, "rows", rows), "listTimers": lambda: iter(self.timers),
+            "registerTimer": self.timers.append, "deleteTimer": self.timers.remove, "getCurrentWatermarkInMs": lambda: self.now,
+        }[name]
+
+
+def test_calls_of_the_state_do_not_grow_with_users_and_activities():
+    found = {}
+    for users in (10, 1000):
+        state, idle = CountedState(), IdleUsers(10)
+        idle.init(state)
+        rows = pd.DataFrame([(False, u, t, u * 10 + t, "a") for u in range(users) for t in (0, 5, 100, 200 + u % 2 * 2000)], columns=["nobody", "user", "us", "event_id", "event_type"])
+        early = pd.concat(idle.handleInputRows((0,), iter([rows[::2], rows[1::2]]), state))
+        assert len(early) == 2 * users and early["n"].sum() == 3 * users and early["ids"].map(list).tolist()[:2] == [[0, 5], [100]] and len(state.rows) == users
+        assert state.timers == [1]
+        state.now = 1
+        late = pd.concat(idle.handleExpiredTimer((0,), state, None))
+        assert late["user_id"].tolist() == list(range(0, users, 2)) and state.timers == [3] and len(state.rows) == users // 2
+        found[users] = state.calls
+    assert found[1000] == found[10] < 20
+
+
 def test_an_activity_goes_on_from_trigger_to_trigger(spark):
     rows = [(1, "a", 0), (1, "b", 8), (1, "a", 16), (1, "a", 24), (2, "z", 100)]
     table = spark.createDataFrame(minutes(rows, [0, 1, 2, 3, 4]), "event_id long, user_id long, event_type string, ts timestamp_ntz, arrival int")
