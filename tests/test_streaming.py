@@ -1,6 +1,7 @@
 """Streams against the same rows in batch."""
 
 import datetime as dt
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera import streaming
 from tessera.plans.streams import late_arrivals
 from tessera.streaming import idle_users, late_window_totals, pairs_or_alone
-from tessera.streaming.replay import PROVIDER
+from tessera.streaming.replay import PROVIDER, STORES
 from tessera.streaming.timers import IdleUsers
 
 DATA = "/root/testdata/sf0.001"
@@ -148,3 +149,18 @@ def test_outer_join_releases_rows_without_partner(spark):
     table = spark.createDataFrame(minutes(rows, [0, 0, 0, 1, 2, 2]), "event_id long, user_id long, event_type string, ts timestamp_ntz, arrival int")
     got = pairs_or_alone(table.where("event_type = 'p'"), table.where("event_type = 'c'"), "arrival", "1 hour", "10 minutes").rows.collect()
     assert sorted(map(tuple, got), key=repr) == [(0, 1), (0, 3), (2, None)]  # the purchase of minute 400 may still find one
+
+
+def test_slices_are_dealt_over_tasks_and_few_rows_have_few_stores(spark, monkeypatch):
+    monkeypatch.setattr("tessera.streaming.replay.SLICE_ROWS", 50)
+    before = spark.conf.get(STORES)
+    rows = [(i % 7, "p" if i % 2 else "c", i) for i in range(400)]
+    table = spark.createDataFrame(minutes(rows, [0] * 300 + [1] * 100), "event_id long, user_id long, event_type string, ts timestamp_ntz, arrival int")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else these few bytes are one task again
+    try:
+        found = pairs_or_alone(table.where("event_type = 'p'"), table.where("event_type = 'c'"), "arrival", "1 hour", "10 minutes").rows
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    folder = Path(found.inputFiles()[0].removeprefix("file://")).parent.parent
+    assert all(len(list((folder / "slices" / f"arrival={a}").glob("*.parquet"))) > 1 for a in (0, 1))
+    assert sum(x.name.isdigit() for x in (folder / "state/state/0").iterdir()) == 1 and spark.conf.get(STORES) == before
